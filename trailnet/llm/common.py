@@ -59,3 +59,24 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         edges = new
     raise RuntimeError("components did not settle")
+
+
+BITMAP_WORDS = 1 << 17
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df with a column maybe: false only where key is not in ids (one column); true for some others too.
+
+    A bitmap of BITMAP_WORDS longs, whatever the number of ids, so it is safe to broadcast. It spares rows a shuffle; an
+    exact join must follow.
+    """
+    def place(c):
+        h = F.xxhash64(c)
+        return F.pmod(F.shiftright(h, 6), F.lit(BITMAP_WORDS)).alias("_word"), F.pmod(h, F.lit(64)).cast("int").alias("_bit")
+
+    one = F.col(ids.columns[0])
+    words = ids.select(*place(one)).distinct().groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits"))
+    word, bit = place(F.col(key))
+    out = df.select("*", word, bit).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.getbit("_bits", "_bit") == 1, F.lit(False))
+    return out.select(*[df[c] for c in df.columns], hit.alias("maybe"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import minhash_dedup, substring_dedup
 from .common import table
 
 
@@ -11,5 +11,9 @@ def op5_suffix_dedup(spark, sf_dir):
     return out.drop("kept_text")
 
 
-QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}
+def op7_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_suffix_dedup": op5_suffix_dedup, "op7_minhash_dedup": op7_minhash_dedup}
 ORACLE_SQL: dict[str, str] = {}
