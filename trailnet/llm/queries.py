@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, substring_dedup
+from . import language_id, minhash_dedup, substring_dedup
 from .common import table
 
 
@@ -15,5 +15,9 @@ def op7_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_suffix_dedup": op5_suffix_dedup, "op7_minhash_dedup": op7_minhash_dedup}
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_language_id": op3_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op7_minhash_dedup": op7_minhash_dedup}
 ORACLE_SQL: dict[str, str] = {}
