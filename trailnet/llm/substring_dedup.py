@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for
+from .common import blocks_for, materialize, maybe_in
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -176,7 +176,7 @@ def _send_anchors(length: int, k: int, ranges: int):
                     hashes.append(h)
                     tids.append(np.full(len(h), tid, np.int64))
                     size += len(h)
-                if size and (i == len(rows) - 1 or size > 3_000_000):
+                if size and (i == len(rows) - 1 or size > 1_000_000):
                     h, t = np.concatenate(hashes), np.concatenate(tids)
                     o = np.argsort(h >> shift, kind="stable")
                     h, t = h[o], t[o]
@@ -361,7 +361,7 @@ def _apply(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_bytes: int = 64 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_bytes: int = 32 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs(doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     A byte is removed if a string of length bytes over it also starts in a document with a smaller doc_id.
@@ -381,19 +381,28 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_byte
     ranked = firsts.selectExpr("*", "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY md5) - 1 AS INT) AS sub")
     sent = long_enough.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(_send_anchors(length, gram, ranges), "part int, hashes binary, tids binary, counts binary")
     shared = sent.repartition(ranges, "part").mapInArrow(_shared_anchors, "tid long, hashes binary")
-    lists = shared.groupBy("tid").agg(F.collect_list("hashes").alias("lists")).join(ranked, "tid").select("doc_id", "md5", "sub", "lists")
+    lists = materialize(shared.groupBy("tid").agg(F.collect_list("hashes").alias("lists")).join(ranked, "tid").select("doc_id", "md5", "sub", "lists"))
     segments = (
-        base.join(lists, ["doc_id", "md5"]).dropDuplicates(["doc_id", "sub"]).select("doc_id", "sub", "text", "lists")
+        maybe_in(base, "doc_id", lists.select("doc_id")).where("maybe").join(lists, ["doc_id", "md5"]).select("doc_id", "sub", "text", "lists")
         .mapInArrow(_send_segments(length, gram, buckets), _SENT)
     )
-    lost = (
+    lost = materialize(
         segments.repartition(buckets, "bucket").mapInArrow(_lost_intervals(length), "doc_id long, sub int, lost binary")
         .groupBy("doc_id", "sub").agg(F.collect_list("lost").alias("lost"))
-        .join(ranked, ["doc_id", "sub"]).select("doc_id", "md5", "lost", F.lit(False).alias("copy"))
+        .join(ranked, ["doc_id", "sub"]).select("doc_id", "md5", "lost")
     )
-    copies = ids.join(firsts.select("md5", F.col("doc_id").alias("first")), "md5").where("doc_id > first")
-    marks = lost.unionByName(copies.select("doc_id", "md5", F.lit(None).cast("array<binary>").alias("lost"), F.lit(True).alias("copy")))
-    return (
-        base.join(marks, ["doc_id", "md5"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "lost")
+    copies = ids.join(firsts.select("md5", F.col("doc_id").alias("first")), "md5").where("doc_id > first").select("doc_id", "md5", F.lit(True).alias("copy"))
+    marked = maybe_in(base, "doc_id", lost.select("doc_id"))
+    # Only texts that may lose a part travel; the others are hashed where they are read.
+    touched = (
+        marked.where("maybe").join(lost, ["doc_id", "md5"], "left").join(copies, ["doc_id", "md5"], "left")
+        .select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "lost")
         .mapInArrow(_apply(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     )
+    whole = marked.where("NOT maybe").select("doc_id", "md5", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), F.decode("text", "UTF-8").alias("kept"))
+    gone = F.col("copy").isNotNull()
+    whole = whole.join(copies, ["doc_id", "md5"], "left").select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"), F.when(gone, "").otherwise(F.col("kept")).alias("kept_text"),
+    )
+    return touched.unionByName(whole)
