@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, substring_dedup
+from . import language_id, minhash_dedup, substring_dedup, toxicity
 from .common import table
 
 
@@ -19,5 +19,9 @@ def op3_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op7_minhash_dedup": op7_minhash_dedup}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op3_language_id": op3_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op7_minhash_dedup": op7_minhash_dedup}
 ORACLE_SQL: dict[str, str] = {}
