@@ -5,7 +5,7 @@
    letters it may have replaced, for nothing (a separator), or for the letter before it (a repetition). Viterbi decoding
    under the language model and the channel's costs finds the likeliest letters. Other tokens stay as they are.
 3. Restored words and their beginnings are weighed by how they divide a bounded sample of labelled documents; a
-   logistic model over a document's strongest weights, fitted on another part of the sample, gives the score.
+   logistic model over a document's strongest weights gives the score.
 """
 
 from __future__ import annotations
@@ -187,37 +187,54 @@ class Scorer:
             self.coef = self.coef - np.linalg.solve(hess, grad)
 
 
-def train(labelled: DataFrame, counts: np.ndarray, toxic_docs: int = 4000, clean_docs: int = 8000, max_features: int = 20_000, least_g: float = 12.0) -> Scorer:
-    """Fit on about toxic_docs and clean_docs of labelled(doc_id, text, toxic), chosen by a hash of doc_id: two thirds weigh
-    the features, one third fits the logistic model. At most max_features features, those that divide best, are kept."""
+def weigh(pos: float, neg: float, all_pos: int, all_neg: int, least_g: float) -> float:
+    """Log odds of a feature that pos of all_pos toxic and neg of all_neg clean documents have, less its standard error; 0
+    where it doesn't point to toxic documents or the likelihood ratio statistic is under least_g."""
+    if pos <= 0 or all_pos <= 0 or all_neg <= 0 or pos * all_neg <= neg * all_pos:
+        return 0.0
+    share = (pos + neg) / (all_pos + all_neg)
+    cells = ((pos, all_pos * share), (neg, all_neg * share), (all_pos - pos, all_pos * (1 - share)), (all_neg - neg, all_neg * (1 - share)))
+    if 2 * sum(n * np.log(n / e) for n, e in cells if n > 0 and e > 0) < least_g:
+        return 0.0
+    odds = np.log((pos + 0.5) / (all_pos + 1)) - np.log((neg + 0.5) / (all_neg + 1))
+    return max(0.0, float(odds - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))))
+
+
+def train(labelled: DataFrame, counts: np.ndarray, toxic_docs: int = 4000, clean_docs: int = 8000, max_features: int = 20_000, least_g: float = 10.0) -> Scorer:
+    """Fit on about toxic_docs and clean_docs of labelled(doc_id, text, toxic), chosen by a hash of doc_id. At most
+    max_features features, those most documents of the sample divide by, are kept. The logistic model is fitted on the same sample, each
+    document with weights that leave it out."""
     model = char_model(counts)
     labelled = labelled.where("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
     n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     share = F.lit(0)
     for k, most in ((0, clean_docs), (1, toxic_docs)):
         share = F.when(F.col("toxic") == k, max(1, min(1_000_000, 1_000_000 * most // n.get(k, 1)))).otherwise(share)
-    h = F.xxhash64("doc_id", F.lit(23))
-    sample = labelled.where(F.pmod(h, F.lit(1_000_000)) < share).select("doc_id", "text", "toxic", (F.pmod(F.shiftrightunsigned(h, 33), F.lit(3)) == 0).alias("second"))
-    size = {(r["toxic"], r["second"]): r["count"] for r in sample.groupBy("toxic", "second").count().collect()}
-    pos, neg = size.get((1, False), 0), size.get((0, False), 0)
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < share).select("text", "toxic")
+    size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
         return Scorer(model, {})
-    counted = sample.where("NOT second").select("text", "toxic").mapInArrow(_count_features(model), "feature string, pos long, neg long")
-    counted = counted.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= 3 AND pos * {neg} > neg * {pos}")
-    part = lambda x, total: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) * (pos + neg) / ((F.col("pos") + F.col("neg")) * total))).otherwise(0.0)
-    g = 2 * (part("pos", pos) + part("neg", neg))
-    weight = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    kept = counted.select("feature", weight.alias("w"), g.alias("g")).where(F.col("g") >= least_g).orderBy(F.desc("g"), "feature").limit(max_features)
-    scorer = Scorer(model, {r["feature"]: r["w"] for r in kept.collect() if r["w"] > 1})
+    counted = sample.mapInArrow(_count_features(model), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    lead = F.col("pos") / pos - F.col("neg") / neg
+    kept = counted.where(f"pos >= 3 AND pos * {neg} > 3 * neg * {pos}").orderBy(F.desc(lead), "feature").limit(max_features).collect()
+
+    def weights(p: int, q: int) -> dict[str, float]:
+        found = ((r["feature"], weigh(r["pos"] - p, r["neg"] - q, pos - p, neg - q, least_g)) for r in kept)
+        return {f: w for f, w in found if w}
+
+    scorer = Scorer(model, weights(0, 0))
+    without = {1: Scorer(model, weights(1, 0)), 0: Scorer(model, weights(0, 1))}
 
     def run(batches):
         for batch in batches:
-            x = scorer.signs(batch.column(0).to_pylist(), Restorer(model, scorer.best))
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+            for k, own in without.items():
+                texts = [t for t, y in zip(*(c.to_pylist() for c in batch.columns)) if y == k]
+                x = own.signs(texts, Restorer(model, own.best))
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([k] * len(x), pa.int32())], ["x", "toxic"])
 
-    rows = sample.where("second").select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").collect()
-    if rows:
-        scorer.fit(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
+    rows = sample.mapInArrow(run, "x array<double>, toxic int").collect()
+    scorer.fit(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
     return scorer
 
 
