@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, substring_dedup, toxicity
+from . import language_id, minhash_dedup, quality_rules, sharding, substring_dedup, toxicity
 from .common import table
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.drop("kept_text")
@@ -15,13 +23,13 @@ def op7_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op3_language_id(spark, sf_dir):
-    return language_id.identify(table(spark, sf_dir, "documents"))
+def op8_sharding(spark, sf_dir):
+    return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark, sf_dir):
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op3_language_id": op3_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op7_minhash_dedup": op7_minhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_quality_rules, op5_suffix_dedup, op7_minhash_dedup, op8_sharding, op10_toxicity)}
+ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE}
