@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, quality_rules, sharding, substring_dedup, toxicity
+from . import chat_format, language_id, minhash_dedup, packing, quality_rules, sharding, substring_dedup, toxicity
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op5_suffix_dedup(spark, sf_dir):
     return out.drop("kept_text")
 
 
+def op6_chat_format(spark, sf_dir):
+    """All conversations, and conversation -7, whose texts hold control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest(chat_format.format_conversations(turns.unionByName(more)))
+
+
 def op7_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,9 +35,13 @@ def op8_sharding(spark, sf_dir):
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_quality_rules, op5_suffix_dedup, op7_minhash_dedup, op8_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_minhash_dedup, op8_sharding, op9_best_fit_packing, op10_toxicity)}
 ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE}
