@@ -25,6 +25,8 @@ LEET = {
 }
 SEPARATORS = set(".-_*~'·/\\:,;+|")
 EDGE = ".,;:?\"'()[]{}<>…«»“”"
+#: Runs of signs before or after a word, which stand for no letter of it.
+_SIGNS = re.compile(r"^[&%#*]+|(?:[&%#*!]|\$(?=\$\$)|(?<=\$)\$(?=\$)|(?<=\$\$)\$)+$")
 CLASSES = 28  # 0: a word's edge, 1 to 26: a to z, 27: any other letter
 REPEAT, SEPARATE, REPLACE, DROP = -1.5, -0.5, -0.7, -9.0
 _CLASS = np.zeros(256, np.int64)
@@ -101,7 +103,7 @@ def decode(token: str, model: np.ndarray) -> str:
 
 def restore(token: str, model: np.ndarray) -> str:
     """A token in lower case without punctuation at its edges, decoded if it looks disguised."""
-    t = token.lower().strip(EDGE)
+    t = _SIGNS.sub("", token.lower().strip(EDGE)).strip(EDGE)
     return decode(t, model) if _NOISY.match(t) else t
 
 
@@ -131,7 +133,9 @@ class Restorer:
         if len(known) > self.bound:
             known.clear()
         words = set(tokens)
-        for t in words - known.keys():
+        for t in words:
+            if t in known:
+                continue
             known[t] = self.value(restore(t, self.model))
         out = [known[t] for t in words]
         if sum(len(t) == 1 for t in words) and sum(len(t) == 1 for t in tokens) > 2:
