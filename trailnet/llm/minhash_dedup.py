@@ -6,9 +6,10 @@ into all its pairs:
 1. Each member is paired with the smallest and the largest node of its bucket. Pairs are compared by batches of signature
    values; a pair goes once the posterior probability that its similarity reaches the threshold is under miss.
    Survivors are verified on the full sets, and links give components.
-2. Only pairs across components can still change a component. Buckets that hold several components compare these pairs, by
-   signatures, in blocks of at most block nodes; the best few of each two components are verified first, then,
-   where those did not join them, all.
+2. Only pairs across components can still change a component. Buckets that hold several components compare these pairs in
+   blocks of at most block nodes: signatures prune, then the shingle sets, as hashes, are counted against all others of the block at
+   once. A block passes on what joins its components and the pairs near the threshold, and these are verified on
+   the texts.
 
 A component is thus the same as if all candidate pairs had been verified.
 """
@@ -157,37 +158,86 @@ def _groups(batches, key: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def _compare_components(least: list[int], best: int | None):
-    """In each block of a bucket: pairs across components that their signatures allow; the best few of each two components, or all."""
+def _short_sets(n: int):
+    """32-bit hashes of the distinct shingles of each text, ascending."""
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                out = [np.unique((shingle_hashes(t.as_py(), n) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "hashes"])
+
+    return run
+
+
+class _Postings:
+    """For each hash the members that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.members = len(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        joined = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+        order = np.argsort(joined, kind="stable")
+        self.owner, joined = owner[order], joined[order]
+        self.first = np.flatnonzero(np.concatenate(([True], joined[1:] != joined[:-1]))) if len(joined) else np.zeros(0, np.int64)
+        self.hashes = joined[self.first]
+        self.ends = np.append(self.first[1:], len(joined))
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """How many hashes each member has in common with own."""
+        at = np.searchsorted(self.hashes, own)
+        at[at == len(self.hashes)] = 0
+        at = at[self.hashes[at] == own]
+        sizes = self.ends[at] - self.first[at]
+        rows = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.owner[rows], minlength=self.members)
+
+
+def _compare_components(least: list[int], percent: int, slack: int = 2):
+    """In each block of a bucket: pairs across components that signatures allow and short hashes confirm.
+
+    Of pairs that are clear of the threshold by slack shingles, those that join two components within the block; pairs nearer to it all.
+    """
 
     def run(batches):
         for t in _groups(batches, ["bkey", "low", "high"]):
-            node, label, own = (t.column(c).to_numpy() for c in ("node", "label", "own"))
-            if len(np.unique(label)) < 2:
+            node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+            names, label = np.unique(t.column("label").to_numpy(), return_inverse=True)
+            if len(names) < 2:
                 continue
-            sig = _matrix(t.column("sig").combine_chunks() if t.num_rows else t.column("sig"))
+            root = np.arange(len(names))
+            sig = _matrix(t.column("sig"))
+            sets = [np.frombuffer(x, np.uint32) for x in t.column("hashes").to_pylist()]
+            size = np.array([len(x) for x in sets])
             low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-            rows = np.flatnonzero(own == low)
             others = np.flatnonzero(own == high)
+            postings = _Postings([sets[j] for j in others])
+            place = np.zeros(len(node), np.int64)
+            place[others] = np.arange(len(others))
             found = []
-            for i in rows:
-                j = others[(label[others] != label[i]) & ((node[others] > node[i]) if low == high else True)]
-                first = (sig[j, :BATCH] == sig[i, :BATCH]).sum(1) >= least[0]
-                j = j[first]
-                if len(j):
-                    live, got = _prune(sig[np.full(len(j), i)], sig[j], least)
-                    found += [(-int(m), int(min(node[i], node[x])), int(max(node[i], node[x])), *sorted((int(label[i]), int(label[x])))) for x, m in zip(j[live], got)]
-            if best is not None:
-                found.sort()
-                taken: dict[tuple, int] = {}
-                few = []
-                for f in found:
-                    taken[f[3:]] = taken.get(f[3:], 0) + 1
-                    if taken[f[3:]] <= best:
-                        few.append(f)
-                found = few
+            for i in np.flatnonzero(own == low):
+                j = others[(root[label[others]] != root[label[i]]) & ((node[others] > node[i]) if low == high else True)]
+                j = j[(sig[j, :BATCH] == sig[i, :BATCH]).sum(1) >= least[0]]
+                if not len(j):
+                    continue
+                live, _ = _prune(sig[np.full(len(j), i)], sig[j], least)
+                j = j[live]
+                if not len(j):
+                    continue
+                both = postings.common(sets[i])[place[j]]
+                union = size[i] + size[j] - both
+                clear = 100 * (both - slack) >= percent * (union + slack)
+                near = ~clear & (100 * (both + slack) >= percent * (union - slack))
+                found += [(node[i], node[x]) for x in j[near]]
+                j = j[clear]
+                while len(j):
+                    x = j[0]
+                    found.append((node[i], node[x]))
+                    root[root == root[label[x]]] = root[label[i]]
+                    j = j[root[label[j]] != root[label[i]]]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], ["a", "b"])
+                f = np.array(found)
+                yield pa.RecordBatch.from_arrays([pa.array(f.min(1)), pa.array(f.max(1))], ["a", "b"])
 
     return run
 
@@ -212,7 +262,7 @@ def _verify(n: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, percent: int = 85, miss: float = 1e-6, block: int = 4000, per_salt: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, percent: int = 85, miss: float = 1e-6, block: int = 1000, per_salt: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     Words: runs of other than ASCII white space, A-Z lower-cased. Documents are linked if the Jaccard similarity of their
@@ -253,20 +303,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, percent: int = 85,
     likely = stars.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sa", "sb").mapInArrow(_prune_pairs(least), "a long, b long")
     links = confirmed(materialize(likely))
     labels = connected_components(links)
-    for best in (4, None):
-        labelled = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bkey", "node", "size", F.coalesce("component", "node").alias("label"))
-        mixed = labelled.groupBy("bkey").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("bkey")
-        inside = labelled.join(mixed, "bkey").join(nodes, "node")
-        parts = F.ceil(F.col("size") / block)
-        inside = inside.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
-        inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        inside = inside.select("bkey", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "sig")
-        there = inside.repartition("bkey", "low", "high").sortWithinPartitions("bkey", "low", "high")
-        pairs = there.mapInArrow(_compare_components(least, best), "a long, b long").distinct()
-        new = confirmed(materialize(pairs))
-        if not new.isEmpty():
-            links = materialize(links.union(new).distinct())
-            labels = connected_components(links)
+    labelled = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bkey", "node", "size", F.coalesce("component", "node").alias("label"))
+    mixed = labelled.groupBy("bkey").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("bkey")
+    inside = materialize(labelled.join(mixed, "bkey"))
+    wanted = inside.select("node").distinct()
+    sets = materialize(texts.withColumnRenamed("b", "node").join(wanted, "node", "left_semi").mapInArrow(_short_sets(shingle_words), "node long, hashes binary"))
+    parts = F.ceil(F.col("size") / block)
+    placed = inside.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(nodes, "node").join(sets, "node")
+    placed = placed.select("bkey", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "sig", "hashes")
+    there = placed.repartition("bkey", "low", "high").sortWithinPartitions("bkey", "low", "high")
+    new = confirmed(materialize(there.mapInArrow(_compare_components(least, percent), "a long, b long").distinct()))
+    if not new.isEmpty():
+        labels = connected_components(links.union(new).distinct())
     components = reps.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     return signed.join(components, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
