@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from .common import blocks_for, materialize
 
 
+#: Of sources, so many are a small table.
+FEW_STRATA = 100_000
+
+
 def bin_rows(total: int, least: int = 1000) -> int:
     """Rows of a bin: about as many as there are bins, so that neither the rows of a bin nor the counts of all bins are many."""
     return max(least, isqrt(total))
@@ -26,7 +30,7 @@ def bin_rows(total: int, least: int = 1000) -> int:
 
 def distributed_rank(df: DataFrame, group: list[str], bins: Column, order: list[Column], name: str) -> DataFrame:
     """df with name: the place of each row, from 1, in its group, ordered by bins and within a bin by order."""
-    df = df.withColumn("_bin", bins)
+    df = df.withColumn("_bin", bins).repartition(*group, "_bin")  # not by a whole group, as a join before may have left it
     counts = df.groupBy(*group, "_bin").agg(F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*group, "_bin", before.alias("_before"))
@@ -50,7 +54,9 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 42, rows_per_bin: i
     rows = materialize(rows)
     total = rows.count()
     rows_per_bin = rows_per_bin or bin_rows(total)
-    strata = rows.groupBy("_stratum").agg(F.count("*").alias("_n"))
+    strata = materialize(rows.groupBy("_stratum").agg(F.count("*").alias("_n")))
+    if strata.count() <= FEW_STRATA:
+        strata = F.broadcast(strata)
     sized = rows.join(strata, "_stratum")
     order = [F.col("_shuffle"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     # Of 2^32 values of the hash's first half word, as many bins as the stratum needs.
