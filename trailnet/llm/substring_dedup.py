@@ -193,15 +193,27 @@ def _send_anchors(length: int, k: int, ranges: int):
     return run
 
 
+def _by_first(batches):
+    """(value, rows) of the first column's values, whose rows stand together; one value's rows at a time."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*batch.columns):
+            p = row[0].as_py()
+            if rows and p != at:
+                yield at, rows
+                rows = []
+            at = p
+            rows.append([x.as_py() for x in row[1:]])
+    if rows:
+        yield at, rows
+
+
 def _shared_anchors(batches):
     """Hash range by hash range: to each text its hashes that another text has too."""
-    parts: dict[int, list] = {}
-    for batch in batches:
-        for p, h, t, c in zip(*(x.to_pylist() for x in batch.columns)):
-            parts.setdefault(p, []).append((np.frombuffer(h, np.uint64), np.repeat(np.frombuffer(t, np.int64), np.frombuffer(c, np.int32))))
-    for p in list(parts):
-        got = parts.pop(p)
-        h, t = (np.concatenate(x) for x in zip(*got))
+    for _, got in _by_first(batches):
+        h = np.concatenate([np.frombuffer(x[0], np.uint64) for x in got])
+        t = np.concatenate([np.repeat(np.frombuffer(x[1], np.int64), np.frombuffer(x[2], np.int32)) for x in got])
+        del got
         o = np.argsort(h)
         h, t = h[o], t[o]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -289,18 +301,15 @@ def _lost_intervals(length: int):
             yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), pa.array(sub[c[:-1]].astype(np.int32)), pa.array([both[x:y].tobytes() for x, y in zip(c[:-1], c[1:])], pa.binary())], ["doc_id", "sub", "lost"])
 
     def run(batches):
-        buckets: dict[int, list] = {}
-        for batch in batches:
-            for p, *row in zip(*(x.to_pylist() for x in batch.columns)):
-                if p < 0:
+        for p, rows in _by_first(batches):
+            if p < 0:
+                for row in rows:
                     a, n = np.frombuffer(row[4], np.int32), np.frombuffer(row[1], np.int32)
                     yield from emit(np.repeat(np.frombuffer(row[2], np.int64), len(a)), np.repeat(np.frombuffer(row[3], np.int32), len(a)), a, a + n)
-                else:
-                    buckets.setdefault(p, []).append(row)
-        for p in list(buckets):
+                continue
             number: dict[bytes, int] = {}
             which, docs, subs, starts = [], [], [], []
-            for joined, lens, d, s, at in buckets.pop(p):
+            for joined, lens, d, s, at in rows:
                 ends = np.cumsum(np.frombuffer(lens, np.int32)).tolist()
                 which += [number.setdefault(joined[a:b], len(number)) for a, b in zip([0, *ends], ends)]
                 docs.append(np.frombuffer(d, np.int64))
@@ -380,14 +389,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_byte
     # Texts that share a doc_id are told apart by sub.
     ranked = firsts.selectExpr("*", "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY md5) - 1 AS INT) AS sub")
     sent = long_enough.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(_send_anchors(length, gram, ranges), "part int, hashes binary, tids binary, counts binary")
-    shared = sent.repartition(ranges, "part").mapInArrow(_shared_anchors, "tid long, hashes binary")
+    shared = sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_shared_anchors, "tid long, hashes binary")
     lists = materialize(shared.groupBy("tid").agg(F.collect_list("hashes").alias("lists")).join(ranked, "tid").select("doc_id", "md5", "sub", "lists"))
     segments = (
         maybe_in(base, "doc_id", lists.select("doc_id")).where("maybe").join(lists, ["doc_id", "md5"]).select("doc_id", "sub", "text", "lists")
         .mapInArrow(_send_segments(length, gram, buckets), _SENT)
     )
     lost = materialize(
-        segments.repartition(buckets, "bucket").mapInArrow(_lost_intervals(length), "doc_id long, sub int, lost binary")
+        segments.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lost_intervals(length), "doc_id long, sub int, lost binary")
         .groupBy("doc_id", "sub").agg(F.collect_list("lost").alias("lost"))
         .join(ranked, ["doc_id", "sub"]).select("doc_id", "md5", "lost")
     )
