@@ -20,7 +20,8 @@ def haversine_m(lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: Colu
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
     up, across = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     h = up * up + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * across * across
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() would pass over a null
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def normalize_degrees(x: ColumnLike) -> Column:
@@ -59,7 +60,8 @@ def interpolate(lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: Colu
 
 
 def clamp(x: ColumnLike, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), _c(x)))
+    x = _c(x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def segment_share(lat: ColumnLike, lon: ColumnLike, lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: ColumnLike) -> Column:

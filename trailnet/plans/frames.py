@@ -90,7 +90,7 @@ PLACES_SQL = """
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     up, across = f"sin(radians({lat2} - {lat1}) / 2)", f"sin(radians({lon2} - {lon1}) / 2)"
     h = f"{up} * {up} + cos(radians({lat1})) * cos(radians({lat2})) * {across} * {across}"
-    return f"(CAST({2 * EARTH_RADIUS_M} AS DOUBLE) * asin(least(CAST(1 AS DOUBLE), sqrt({h}))))"
+    return f"(CAST({2 * EARTH_RADIUS_M} AS DOUBLE) * asin(sqrt(CASE WHEN {h} > 1 THEN CAST(1 AS DOUBLE) ELSE {h} END)))"
 
 
 def rounded(x: Column, digits: int = 3) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import motion
+from . import joins, motion
 
-_MODULES = (motion,)
+_MODULES = (motion, joins)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
