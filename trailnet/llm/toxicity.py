@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: What a character may stand for besides itself.
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -204,17 +206,19 @@ def weigh(pos: float, neg: float, all_pos: int, all_neg: int, least_g: float) ->
     return max(0.0, float(odds - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))))
 
 
-def train(labelled: DataFrame, counts: np.ndarray, toxic_docs: int = 4000, clean_docs: int = 8000, max_features: int = 20_000, least_g: float = 10.0) -> Scorer:
-    """Fit on about toxic_docs and clean_docs of labelled(doc_id, text, toxic), chosen by a hash of doc_id. At most
+def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, toxic_docs: int = 4000, clean_docs: int = 8000, max_features: int = 20_000, least_g: float = 10.0) -> Scorer:
+    """Fit on about toxic_docs and clean_docs of docs(doc_id, text) that labels(doc_id, toxic) has as such, chosen by a hash of doc_id. At most
     max_features features, those most documents of the sample divide by, are kept. The logistic model is fitted on the same sample, each
     document with weights that leave it out."""
     model = char_model(counts)
-    labelled = labelled.where("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
-    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    labels = labels.where("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
+    n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = F.lit(0)
     for k, most in ((0, clean_docs), (1, toxic_docs)):
         share = F.when(F.col("toxic") == k, max(1, min(1_000_000, 1_000_000 * most // n.get(k, 1)))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < share).select("text", "toxic")
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < share).select("doc_id", "toxic")
+    # The ids of the sample, of bounded number, go to the texts; the texts of the sample are kept.
+    sample = materialize(docs.join(F.broadcast(chosen.limit(2 * (toxic_docs + clean_docs))), "doc_id").select("text", "toxic"))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
@@ -264,5 +268,5 @@ def rate(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    out = score(docs, train(docs.join(known, "doc_id"), count_trigrams(docs), **bounds))
+    out = score(docs, train(docs, known, count_trigrams(docs), **bounds))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
