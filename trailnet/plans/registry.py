@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import joins, motion, stateful
+from . import joins, motion, routes, stateful
 
-_MODULES = (motion, joins, stateful)
+_MODULES = (motion, joins, routes, stateful)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
