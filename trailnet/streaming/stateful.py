@@ -44,5 +44,6 @@ def session_counts(df: DataFrame, keys: list[str], time: str, gap: str = "15 min
     return df.withWatermark(time, late).groupBy(*keys, F.session_window(time, gap).alias("session")).agg(F.count("*").alias("fixes"))
 
 
-def window_counts(df: DataFrame, keys: list[str], time: str, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    return df.withWatermark(time, late).groupBy(*keys, F.window(time, size).alias("window")).agg(F.count("*").alias("fixes"))
+def window_counts(df: DataFrame, keys: list[str], time: str, size: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """Fixes per key and window. late None: df has its watermark already."""
+    return (df.withWatermark(time, late) if late else df).groupBy(*keys, F.window(time, size).alias("window")).agg(F.count("*").alias("fixes"))
