@@ -148,6 +148,6 @@ def spanning_gaps(nodes: DataFrame, candidates: DataFrame, max_rounds: int = 64)
         if low.isEmpty():
             return taken if taken is not None else candidates.limit(0).select("src", "dst", "gap_m")
         joined = components(labels.select(F.col("component").alias("node")).distinct(), low.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
-        labels = stored(labels.join(joined.withColumnsRenamed({"node": "component", "component": "c2"}), "component").select("node", F.col("c2").alias("component")))
+        labels = stored(labels.join(joined.select(F.col("node").alias("c1"), F.col("component").alias("c2")), F.col("component") == F.col("c1")).select("node", F.col("c2").alias("component")))
         taken = low.select("src", "dst", "gap_m") if taken is None else taken.union(low.select("src", "dst", "gap_m"))
     raise RuntimeError("forest did not settle")
