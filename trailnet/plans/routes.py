@@ -43,7 +43,8 @@ def normalize_names(spark, sf_dir):
 
 def section_sort(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat((F.col("c_custkey") % 50).cast("string"), F.substring("c_mktsegment", 1, 1)).alias("section"), "c_name")
-    w = Window.orderBy(*N.section_order(F.col("section"), F.col("c_name")))
+    # Places are counted within a number, so no task sorts the whole table.
+    w = Window.partitionBy(N.section_number(F.col("section"))).orderBy(*N.section_order(F.col("section"), F.col("c_name")))
     return c.select("c_custkey", "section", F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -75,7 +76,7 @@ ORACLE_SQL = {
         ASOF LEFT JOIN (SELECT o_orderkey % 16 AS route, o_totalprice AS at_m, min(o_orderkey) AS place FROM orders GROUP BY ALL) s ON q.route = s.route AND q.at_m <= s.at_m)""",
     "normalize_names": """SELECT p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key,
         array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' la ') AS title, true AS pseudo FROM (SELECT DISTINCT p_name FROM part)""",
-    "section_sort": """SELECT c_custkey, section, row_number() OVER (ORDER BY c_custkey % 50, lower(substr(c_mktsegment, 1, 1)), lower(section), lower(c_name)) AS place
+    "section_sort": """SELECT c_custkey, section, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY lower(substr(c_mktsegment, 1, 1)), lower(section), lower(c_name)) AS place
         FROM (SELECT *, concat(c_custkey % 50, substr(c_mktsegment, 1, 1)) AS section FROM customer)""",
     "index_links": """SELECT page_id, CAST(i AS BIGINT) AS place, hrefs[i + 1] AS href FROM (SELECT page_id, hrefs, unnest(range(len(hrefs))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]*)"', 1) AS hrefs FROM pages))""",
     "formatted": f"""SELECT c_custkey, CASE WHEN m >= 60 THEN concat(m // 60, ' h ', lpad(CAST(m % 60 AS VARCHAR), 2, '0'), ' min') ELSE concat(m, ' min') END AS duration,
