@@ -62,3 +62,27 @@ def test_endpoint_graph(spark):
     ends = [("r", 1, 0, 0.0, 0.0, "a", 5.0), ("r", 1, 1, 0.0, 0.01, "b", 5.0), ("r", 2, 0, 0.0, 0.02, "b", 6.0), ("r", 2, 1, 0.0, 0.03, None, 6.0)]
     g = network.endpoint_graph(spark.createDataFrame(ends, "route string, track int, side int, lat double, lon double, place string, length_m double"))
     assert sorted((r.kind, tuple(r.src), tuple(r.dst)) for r in g.collect()) == [("GAP", (1, 1), (2, 0)), ("TRACK", (1, 0), (1, 1)), ("TRACK", (2, 0), (2, 1)), ("TRANSFER", (1, 1), (2, 0))]
+
+
+def test_places_count_over_all_numbers(spark):
+    from trailnet.functions import names
+
+    r = random.Random(4)
+    rows = [(k, r.choice(["1", "2", "2", "2", "10", ""]) + r.choice(["", "a", "B"]), f"n{k:04d}") for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, section string, label string")
+    got = {x.id: x.place for x in route.placed(df, names.section_order(F.col("section"), F.col("label"))).collect()}
+
+    def key(x):
+        digits = x[1].rstrip("aB")
+        return (digits == "", int(digits or 0), x[1][len(digits):].lower(), x[1].lower(), x[2])
+
+    assert got == {x[0]: i for i, x in enumerate(sorted(rows, key=key), 1)}
+
+
+def test_section_sort_is_the_place_in_the_whole_sort(spark, tmp_path):
+    from trailnet.plans import routes
+
+    rows = [(k, ("AUTO", "bike", "Cars")[k * 7 % 3], f"Customer#{k * 37 % 211:09d}") for k in range(211)]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    want = sorted(rows, key=lambda x: (x[0] % 50, x[1][0].lower(), x[2].lower()))
+    assert {x.c_custkey: x.place for x in routes.section_sort(spark, str(tmp_path)).collect()} == {x[0]: i for i, x in enumerate(want, 1)}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
-from .graph import bounded_paths, shortest_paths
+from .graph import bounded_paths, shortest_paths, stored
 
 _END = "struct<track:bigint,alat:double,alon:double,blat:double,blon:double>"
 
@@ -101,6 +101,21 @@ def next_place(stops: DataFrame, positions: DataFrame) -> DataFrame:
     return out.select("query", "route", "at_m", F.col("n.place").alias("place"), (F.col("n.stop_m") - F.col("at_m")).alias("distance_m"))
 
 
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with place, their rank in the whole order from 1.
+
+    Ranges of the order are ranked by themselves, and each adds the counts of those before it; no task sorts all rows, and a hot value of
+    the first key is divided by the others.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written: the limits of the ranges are from a sample, and must be the same for ranks and counts.
+    dealt = stored(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    before = dealt.groupBy("_range").count()
+    before = before.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return own.join(F.broadcast(before), "_range").withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_before")
+
+
 def resampled(points: DataFrame, samples: int = 101) -> DataFrame:
     """(track, k, lat, lon): samples points at even distances along each track of points(track, along_m, lat, lon)."""
     w = Window.partitionBy("track").orderBy("along_m", "seq")

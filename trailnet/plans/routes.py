@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -43,9 +42,7 @@ def normalize_names(spark, sf_dir):
 
 def section_sort(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat((F.col("c_custkey") % 50).cast("string"), F.substring("c_mktsegment", 1, 1)).alias("section"), "c_name")
-    # Places are counted within a number, so no task sorts the whole table.
-    w = Window.partitionBy(N.section_number(F.col("section"))).orderBy(*N.section_order(F.col("section"), F.col("c_name")))
-    return c.select("c_custkey", "section", F.row_number().over(w).cast("long").alias("place"))
+    return R.placed(c, N.section_order(F.col("section"), F.col("c_name"))).select("c_custkey", "section", "place")
 
 
 def index_links(spark, sf_dir):
