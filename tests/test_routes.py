@@ -86,3 +86,9 @@ def test_section_sort_is_the_place_in_the_whole_sort(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
     want = sorted(rows, key=lambda x: (x[0] % 50, x[1][0].lower(), x[2].lower()))
     assert {x.c_custkey: x.place for x in routes.section_sort(spark, str(tmp_path)).collect()} == {x[0]: i for i, x in enumerate(want, 1)}
+
+
+def test_tree_has_all_levels(spark):
+    e = spark.createDataFrame([(f"p{k:02d}", f"p{k + 1:02d}", "x") for k in range(24)] + [("p24", "p22", "back")], "src string, dst string, caption string")
+    rows = route.group_tree(e, F.lit("p00")).orderBy("sort_path").collect()
+    assert [(r.depth, r.place, r.cycle) for r in rows] == [(k, f"p{k:02d}", False) for k in range(25)] + [(25, "p22", True)]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
-from .graph import bounded_paths, shortest_paths, stored
+from .graph import bounded_paths, shared_dir, shortest_paths, stored
 
 _END = "struct<track:bigint,alat:double,alon:double,blat:double,blon:double>"
 
@@ -148,26 +150,28 @@ def semantic_bridges(gaps: DataFrame, edges: DataFrame, max_tracks: int = 8) ->
     return bounded_paths(edges, gaps, max_tracks)
 
 
-def group_tree(edges: DataFrame, root: Column, max_depth: int = 20) -> DataFrame:
+def group_tree(edges: DataFrame, root: Column) -> DataFrame:
     """Rows of the tree below root over edges(src, dst, caption), in the order of sort_path: depth, place, caption, and cycle where a place is among its own ancestors (not followed).
 
-    Shared places are shown under each parent. A level is a join with the edges.
+    Shared places are shown under each parent. A level is a join with the edges; the last one is that where every branch has ended, as cycles do.
     """
-    level = edges.sparkSession.range(1).select(root.alias("place"), F.lit(None).cast("string").alias("caption"), F.array(root).alias("path"), F.array(F.concat(root.cast("string"))).alias("sort_path"), F.lit(False).alias("cycle"))
-    out = level.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    spark = edges.sparkSession
+    folder, written = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", []
+    level = spark.range(1).select(root.alias("place"), F.lit(None).cast("string").alias("caption"), F.array(root).alias("path"), F.array(F.concat(root.cast("string"))).alias("sort_path"), F.lit(False).alias("cycle"))
+    while True:
+        level = level.withColumn("depth", F.lit(len(written)))
+        path = f"{folder}/{len(written)}"
+        level.write.parquet(path)
+        level = spark.read.schema(level.schema).parquet(path)
+        if written and level.isEmpty():
+            break
+        written.append(path)
         open_ = level.where("NOT cycle").select("path", "sort_path", F.col("place").alias("src"))
         level = open_.join(edges, "src").select(
             F.col("dst").alias("place"), "caption", F.array_append("path", F.col("dst")).alias("path"),
             F.array_append("sort_path", F.concat_ws("/", F.lower(F.col("dst").cast("string")), "caption")).alias("sort_path"), F.array_contains("path", F.col("dst")).alias("cycle"),
         )
-        from .graph import stored
-
-        level = stored(level)
-        if level.isEmpty():
-            break
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return out.select("depth", "place", "caption", "cycle", "sort_path")
+    return spark.read.schema(level.schema).parquet(*written).select("depth", "place", "caption", "cycle", "sort_path")
 
 
 def resolve_root(places: DataFrame, wanted: str, aliases: dict[str, str]) -> DataFrame:
