@@ -92,3 +92,35 @@ def test_tree_has_all_levels(spark):
     e = spark.createDataFrame([(f"p{k:02d}", f"p{k + 1:02d}", "x") for k in range(24)] + [("p24", "p22", "back")], "src string, dst string, caption string")
     rows = route.group_tree(e, F.lit("p00")).orderBy("sort_path").collect()
     assert [(r.depth, r.place, r.cycle) for r in rows] == [(k, f"p{k:02d}", False) for k in range(25)] + [(25, "p22", True)]
+
+
+def test_bridges_are_the_shortest_of_all_chains(spark, tmp_path):
+    from trailnet.plans import joins
+
+    r = random.Random(6)
+    n = 67
+    rows = [(k, round(r.uniform(-999, 9999), 2)) for k in range(n)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    steps, ends = {}, set()
+    for k, x in rows:
+        m, a, b = float(abs(math.floor(x))), k * 7919 % n, k * k % n
+        for d, w in ((b, m), ((a * 31 + 7) % n, m * 2 + 1000)):
+            if a != d:
+                steps.setdefault(a, {})[d] = min(w, steps.get(a, {}).get(d, w))
+        if a != b * 3 % n:
+            ends.add((a, b * 3 % n, k % 50 * 1000.0))
+    best = {}
+
+    def walk(start, goal, bound, path, length):
+        if path[-1] == goal:
+            best[start, goal] = min(best.get((start, goal), (math.inf,)), (length, len(path) - 1, path))
+        elif len(path) <= 8:
+            for d, w in steps.get(path[-1], {}).items():
+                if d not in path and length + w <= bound:
+                    walk(start, goal, bound, [*path, d], length + w)
+
+    for start, goal, gap in ends:
+        walk(start, goal, max(100_000.0, 3 * gap), [start], 0.0)
+    assert any(h > 5 for _, h, _ in best.values()) and any(x > 12_000 for x, _, _ in best.values())
+    got = {(x.start, x.goal): (x.length_m, x.hops, [int(p) for p in x.path.split(">")]) for x in joins.bridges_bounded(spark, str(tmp_path)).collect()}
+    assert got == best

@@ -78,10 +78,20 @@ def shortest_path(spark, sf_dir):
     return G.shortest_paths(e, first).select("source", "node", "distance_m")
 
 
+def _branched(spark, sf_dir):
+    """(src, dst, length_m) and (start, goal, gap_m): the sparse edges and one more from each place, so that there are chains to choose from, and a goal for each edge."""
+    s = _sparse(spark, sf_dir).select("track", "from_key", "to_key", F.abs(F.floor("length_m")).cast("double").alias("m"))
+    n = table(spark, sf_dir, "supplier").count()
+    way = lambda dst, m: F.struct(dst.alias("dst"), m.alias("length_m"))
+    more = way((F.col("from_key") * 31 + 7) % n, F.col("m") * 2 + 1000)
+    e = s.select(F.col("from_key").alias("src"), F.explode(F.array(way(F.col("to_key"), F.col("m")), more)).alias("w")).select("src", "w.*").where("src <> dst")
+    ends = s.select(F.col("from_key").alias("start"), (F.col("to_key") * 3 % n).alias("goal"), ((F.col("track") % 50) * 1000).cast("double").alias("gap_m"))
+    return e, ends.where("start <> goal").distinct()
+
+
 def bridges_bounded(spark, sf_dir):
-    e = _sparse(spark, sf_dir).where("from_key <> to_key").select(F.col("from_key").alias("src"), F.col("to_key").alias("dst"), F.abs(F.floor("length_m")).cast("double").alias("length_m"))
-    ends = e.select((F.col("src")).alias("start"), ((F.col("dst") * 3) % 50).alias("goal"), F.lit(1000.0).alias("gap_m")).where("start <> goal").distinct()
-    return G.bounded_paths(e, ends, max_hops=5, stretch=10.0, least_bound_m=12000.0).select("start", "goal", F.col("hops").cast("long").alias("hops"), "length_m", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    e, ends = _branched(spark, sf_dir)
+    return G.bounded_paths(e, ends, max_hops=8, stretch=3.0, least_bound_m=100_000.0).select("start", "goal", F.col("hops").cast("long").alias("hops"), "length_m", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def stale_ids(spark, sf_dir):
