@@ -35,7 +35,7 @@ def test_lines_against_brute_force(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     import hashlib
 
-    left = {b[0]: b[5] for b in test_line_dedup.brute(rows, 32)}
+    left = {b[0]: b[5] for b in test_line_dedup.brute(rows, None)}
     got = {x.doc_id: x for x in out.collect()}
     assert want <= set(got)
     for d, t in rows:
