@@ -61,5 +61,23 @@ def test_matches_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows, 50)
 
 
+def test_crowded_anchors_match_brute_force(spark):
+    rows = corpus(8, 150)
+    r = random.Random(9)
+    banner = "this banner stands in every document of the table, whatever is around it"
+    rows += [(1000 + i, f"{r.random()} {banner[r.randint(0, 3):]} {r.random()}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sd.remove_repeats(df, bucket_bytes=4000, range_bytes=8000, least_crowded=5, slab=100).drop("kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 50)
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    r = random.Random(10)
+    long = "".join(r.choice("abcdefgh ") for _ in range(400_000))
+    rows = [(1, long), (2, long[1000:3000]), (2, long[1000:3000]), (3, "x" * 49), (4, "x" * 49)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (400_000, 0, 0), 2: (2000, 2000, 1), 3: (49, 0, 0), 4: (49, 0, 0)}
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

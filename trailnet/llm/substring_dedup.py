@@ -3,21 +3,25 @@
 A window of L bytes is anchored at the k-gram with the smallest hash among those inside it, so equal windows have equal
 anchors wherever they stand. Windows next to each other mostly share an anchor; such a run is one segment of text.
 
-1. Every text sends its anchor hashes, packed, to hash ranges. There, hashes met in one text only are dropped.
+1. Every text sends its anchor hashes, packed, to hash ranges. A range reads them slab by slab and keeps one text for each hash;
+   hashes met in one text only are dropped. Those of very many texts are told to all tasks as crowded: there can be no more
+   than MOST_CROWDED of them, as all anchors of the input are fewer than the input's bytes.
 2. Each text that has shared anchors cuts the segments around these and sends them, each distinct one once per batch, to
-   buckets by anchor. All equal windows meet in one bucket.
+   buckets by anchor. All equal windows meet in one bucket. Around a crowded anchor the windows are sent one by one instead, to buckets
+   by their own hash, so a banner with another surrounding in each document fills no bucket.
 3. Each bucket builds a suffix array of its distinct segments: only the suffixes smaller than their successors are
    sorted, the others are induced by scans over the buckets of first bytes. Neighbours with L bytes in common are equal
    windows; the smallest doc_id among them keeps the bytes, larger ones lose them.
 4. The lost intervals go back to their documents, where they are merged.
 
-Copies of whole texts are represented by the copy with the smallest doc_id. Memory is bounded by the number of hash ranges
-and buckets, which follow from the size of the input; there are no caps on occurrences.
+Copies of whole texts are represented by the copy with the smallest doc_id. A range holds its distinct hashes and a slab, a
+bucket its distinct segments; their number follows from the size of the input. There are no caps on occurrences.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import blocks_for, materialize, maybe_in
 
 SLICE = 1 << 18
+SLAB = 1 << 20
+MOST_CROWDED = 500_000
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -89,14 +95,15 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     i + 1 by one code, and i + 1 comes before it; so scans over the buckets of first codes, in ascending order, place it.
     """
     n = len(codes)
-    rising = np.empty(n, bool)
-    step = np.concatenate((np.sign(codes[1:].astype(np.int16) - codes[:-1].astype(np.int16)), [-1]))
-    where = np.where(step != 0, np.arange(n), n)
-    rising = step[np.minimum(np.minimum.accumulate(where[::-1])[::-1], n - 1)] > 0
-    direct = np.flatnonzero(rising)
+    step = np.full(n, -1, np.int8)
+    step[:-1] = np.sign(codes[1:].astype(np.int16) - codes[:-1].astype(np.int16))
+    where = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n - 1))
+    rising = step[np.minimum.accumulate(where[::-1])[::-1]] > 0
+    direct = np.flatnonzero(rising).astype(np.int32)
+    del where, step, rising
     padded = np.concatenate((codes, np.zeros(depth + 8, codes.dtype)))
     # Nine-bit codes, seven to a word.
-    group = np.zeros(len(direct), np.int64)
+    group = np.zeros(len(direct), np.int32)
     for at in range(0, depth, 7):
         word = np.zeros(len(direct), np.uint64)
         for j in range(7):
@@ -113,14 +120,15 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
             direct[tied], word[tied] = direct[tied[o]], word[tied[o]]
             new = np.concatenate(([True], (group[1:] != group[:-1])))
             new[1:] |= (word[1:] != word[:-1])
-        group = np.cumsum(new) - 1
+        group = np.cumsum(new, dtype=np.int32) - np.int32(1)
     heads = np.searchsorted(codes[direct], np.arange(258))
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
     out = []
-    last = np.array([n - 1])  # the end of the text is a suffix of type A without a successor
+    last = np.array([n - 1], np.int32)  # the end of the text is a suffix of type A without a successor
     induced[codes[n - 1]].append(last)
     for c in range(257):
-        wave = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)
+        wave = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int32)
+        induced[c] = []
         falling = [wave]
         while len(wave):  # runs of one code, each from the suffix after it
             prev = wave[wave > 0] - 1
@@ -148,8 +156,8 @@ def shared_windows(segments: list[bytes], length: int) -> tuple[np.ndarray, np.n
     inside[starts[1:] - 1] = False
     codes[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 1
     order = suffix_order(codes, length)
-    seg = np.repeat(np.arange(len(lens)), lens + 1)
-    offset = np.arange(starts[-1]) - starts[seg]
+    seg = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
+    offset = (np.arange(starts[-1], dtype=np.int32) - starts.astype(np.int32)[seg]).astype(np.int32)
     order = order[offset[order] + length <= lens[seg[order]]]
     if not len(order):
         return (np.zeros(0, np.int64),) * 3
@@ -159,7 +167,7 @@ def shared_windows(segments: list[bytes], length: int) -> tuple[np.ndarray, np.n
         if not len(live):
             break
         alike[live] = codes[order[live] + j] == codes[order[live + 1] + j]
-    return seg[order], offset[order], np.concatenate(([0], np.cumsum(~alike)))
+    return seg[order], offset[order], np.concatenate((np.zeros(1, np.int32), np.cumsum(~alike, dtype=np.int32)))
 
 
 def _send_anchors(length: int, k: int, ranges: int):
@@ -208,31 +216,85 @@ def _by_first(batches):
         yield at, rows
 
 
-def _shared_anchors(batches):
-    """Hash range by hash range: to each text its hashes that another text has too."""
-    for _, got in _by_first(batches):
-        h = np.concatenate([np.frombuffer(x[0], np.uint64) for x in got])
-        t = np.concatenate([np.repeat(np.frombuffer(x[1], np.int64), np.frombuffer(x[2], np.int32)) for x in got])
-        del got
+def _shared_anchors(least_crowded: int, slab: int = SLAB):
+    """Hash range by hash range: to each text its hashes that another text has too; crowded hashes, those with least_crowded texts,
+    go without a text. A range holds its distinct hashes, with the first text met, and a slab of what is sent to it."""
+
+    def slabs(rows):
+        held, size = [], 0
+        for hashes, tids, counts in rows:
+            held.append((hashes, tids, counts))
+            size += len(hashes) // 8
+            if size >= slab:
+                yield unpacked(held)
+                held, size = [], 0
+        if held:
+            yield unpacked(held)
+
+    def unpacked(held):
+        h = np.concatenate([np.frombuffer(x[0], np.uint64) for x in held])
+        t = np.concatenate([np.repeat(np.frombuffer(x[1], np.int64), np.frombuffer(x[2], np.int32)) for x in held])
         o = np.argsort(h)
-        h, t = h[o], t[o]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        several = np.minimum.reduceat(t, first) != np.maximum.reduceat(t, first)
-        keep = np.repeat(several, np.diff(np.append(first, len(h))))
-        h, t = h[keep], t[keep]
+        return h[o], t[o]
+
+    def grouped(t, h):
+        if not len(t):
+            return
         o = np.argsort(t, kind="stable")
-        h, t = h[o], t[o]
-        cut = np.append(np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else [], len(t)).astype(np.int64)
+        t, h = t[o], h[o]
+        cut = np.append(np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))), len(t))
         for i in range(0, len(cut) - 1, 5000):
             c = cut[i : i + 5001]
             yield pa.RecordBatch.from_arrays([pa.array(t[c[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(c[:-1], c[1:])], pa.binary())], ["tid", "hashes"])
 
+    def run(batches):
+        for rows in _runs_of_first(batches):
+            known, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            told, seen = np.zeros(0, bool), np.zeros(0, np.int64)
+            for h, t in slabs(rows):
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                ends = np.append(first[1:], len(h))
+                own = h[first]
+                at = np.searchsorted(known, own)
+                old = np.zeros(len(own), bool)
+                inside = at < len(known)
+                old[inside] = known[at[inside]] == own[inside]
+                low, high = np.minimum.reduceat(t, first), np.maximum.reduceat(t, first)
+                lead = t[first]  # of a new hash, the text that stands for it
+                lead[old] = owner[at[old]]
+                several = (low != lead) | (high != lead)
+                was = np.zeros(len(own), bool)
+                was[old] = told[at[old]]
+                # All texts of the slab, and once the one met before.
+                rows_h, rows_t = h[np.repeat(several | was, ends - first)], t[np.repeat(several | was, ends - first)]
+                late = several & old & ~was
+                yield from grouped(np.concatenate((rows_t, lead[late])), np.concatenate((rows_h, own[late])))
+                seen[at[old]] += (ends - first)[old]
+                told[at[old]] |= several[old]
+                new = ~old
+                known, owner = np.concatenate((known, own[new])), np.concatenate((owner, lead[new]))
+                told, seen = np.concatenate((told, several[new])), np.concatenate((seen, (ends - first)[new]))
+                o = np.argsort(known, kind="stable")
+                known, owner, told, seen = known[o], owner[o], told[o], seen[o]
+            crowded = known[seen >= least_crowded]
+            if len(crowded):
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([crowded.tobytes()], pa.binary())], ["tid", "hashes"])
+
+    return run
+
+
+def _runs_of_first(batches):
+    """For each value of the first column, whose rows stand together, an iterator over the other columns' rows, read as they come."""
+    rows = ((row[0].as_py(), [x.as_py() for x in row[1:]]) for batch in batches for row in zip(*batch.columns))
+    for _, own in groupby(rows, key=lambda x: x[0]):
+        yield (x[1] for x in own)
+
 
 _SENT = "bucket int, segments binary, lengths binary, docs binary, subs binary, starts binary"
 
 
-def _send_segments(length: int, k: int, buckets: int):
-    """Cut the segments at shared anchors. Of the same segment in several documents of a batch, the smallest doc_id's is sent;
+def _send_segments(length: int, k: int, buckets: int, crowded: np.ndarray, pack_bytes: int = 8_000_000):
+    """Cut the segments at shared anchors, or, where the anchor is crowded, the windows. Of the same segment in several documents of a batch, the smallest doc_id's is sent;
     the others lose its bytes at once (a row with bucket below 0, passed on as it is)."""
 
     def run(batches):
@@ -248,12 +310,26 @@ def _send_segments(length: int, k: int, buckets: int):
                 at = np.searchsorted(wanted, h)
                 at[at == len(wanted)] = 0
                 hit = wanted[at] == h
-                done.append((i, data, first[hit], last[hit], (h[hit] % np.uint64(buckets)).astype(np.int64)))
-                size += int((last[hit] - first[hit] + length).sum())
-                if size > 24_000_000 or n == len(order) - 1:
+                first, last, h = singled(data, first[hit], last[hit], h[hit])
+                done.append((i, data, first, last, (h % np.uint64(buckets)).astype(np.int64)))
+                size += int((last - first + length).sum())
+                if size > pack_bytes or n == len(order) - 1:
                     yield from pack(done, docs, subs)
                     done, size = [], 0
 
+    def singled(data, first, last, h):
+        """The runs around crowded anchors as windows of their own, with their hashes for the anchors'."""
+        if not len(crowded) or not len(h):
+            return first, last, h
+        at = np.minimum(np.searchsorted(crowded, h), len(crowded) - 1)
+        many = crowded[at] == h
+        if not many.any():
+            return first, last, h
+        a, n = first[many], (last - first)[many] + 1
+        own = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        code = np.concatenate([_gram_hashes(np.frombuffer(data, np.uint8, int(z - y) + length, int(y)), length) for y, z in zip(a, last[many])])
+        return np.concatenate((first[~many], own)), np.concatenate((last[~many], own)), np.concatenate((h[~many], code))
+
     def pack(done, docs, subs):
         seen: dict[bytes, int] = {}
         segments, owner, starts, to = [], [], [], []
@@ -370,10 +446,11 @@ def _apply(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_bytes: int = 32 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_bytes: int = 32 << 20, bucket_bytes: int = 2 << 20, least_crowded: int | None = None, slab: int = SLAB) -> DataFrame:
     """One row per row of docs(doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     A byte is removed if a string of length bytes over it also starts in a document with a smaller doc_id.
+    slab: how many hashes of a range are read at once. least_crowded: of how many texts an anchor is crowded; by default such that no more than MOST_CROWDED anchors can be.
     Null texts count as empty; rows with a null doc_id keep all and take from none; rows with one doc_id never take from each
     other; repeated rows get the same result each. kept_text drops what the cuts leave of split characters, kept_sha256 does
     not. Other columns of docs are ignored.
@@ -389,14 +466,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_byte
     # Texts that share a doc_id are told apart by sub.
     ranked = firsts.selectExpr("*", "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY md5) - 1 AS INT) AS sub")
     sent = long_enough.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(_send_anchors(length, gram, ranges), "part int, hashes binary, tids binary, counts binary")
-    shared = sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_shared_anchors, "tid long, hashes binary")
-    lists = materialize(shared.groupBy("tid").agg(F.collect_list("hashes").alias("lists")).join(ranked, "tid").select("doc_id", "md5", "sub", "lists"))
+    least_crowded = least_crowded or max(20_000, int(total or 0) // MOST_CROWDED)
+    there = sent.repartition("part").sortWithinPartitions("part")
+    shared = materialize(there.mapInArrow(_shared_anchors(least_crowded, slab), "tid long, hashes binary"))
+    crowded = np.unique(np.frombuffer(b"".join(r["hashes"] for r in shared.where("tid IS NULL").select("hashes").collect()), np.uint64))
+    lists = materialize(shared.where("tid IS NOT NULL").groupBy("tid").agg(F.collect_list("hashes").alias("lists")).join(ranked, "tid").select("doc_id", "md5", "sub", "lists"))
     segments = (
         maybe_in(base, "doc_id", lists.select("doc_id")).where("maybe").join(lists, ["doc_id", "md5"]).select("doc_id", "sub", "text", "lists")
-        .mapInArrow(_send_segments(length, gram, buckets), _SENT)
+        .mapInArrow(_send_segments(length, gram, buckets, crowded), _SENT)
     )
     lost = materialize(
-        segments.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lost_intervals(length), "doc_id long, sub int, lost binary")
+        segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lost_intervals(length), "doc_id long, sub int, lost binary")
         .groupBy("doc_id", "sub").agg(F.collect_list("lost").alias("lost"))
         .join(ranked, ["doc_id", "sub"]).select("doc_id", "md5", "lost")
     )
