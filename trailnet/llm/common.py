@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,19 +15,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir, or a local one where none is set and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="trailnet-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, compression: str = "snappy", arrow_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    arrow_rows: rows of a batch that goes to Python meanwhile, where rows are wide; the session's setting is put back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trailnet-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows or before))
+        # A frame keeps the plan it has once been given: this one is planned under the setting.
+        df.select("*").write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

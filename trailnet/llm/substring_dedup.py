@@ -33,6 +33,8 @@ from .common import blocks_for, materialize, maybe_in
 SLICE = 1 << 18
 SLAB = 1 << 20
 MOST_CROWDED = 500_000
+#: Of a batch for Python: texts, or packs of up to a few hundred KB.
+WIDE_ROWS = 64
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -170,33 +172,37 @@ def shared_windows(segments: list[bytes], length: int) -> tuple[np.ndarray, np.n
     return seg[order], offset[order], np.concatenate((np.zeros(1, np.int32), np.cumsum(~alike, dtype=np.int32)))
 
 
-def _send_anchors(length: int, k: int, ranges: int):
+def _send_anchors(length: int, k: int, ranges: int, per_pack: int = 1_000_000):
+    shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
+
+    def packed(hashes, tids):
+        h, t = np.concatenate(hashes), np.concatenate(tids)
+        o = np.argsort(h >> shift, kind="stable")
+        h, t = h[o], t[o]
+        cut = np.searchsorted(h >> shift, np.arange(ranges + 1, dtype=np.uint64))
+        found = []
+        for p in np.flatnonzero(np.diff(cut)):
+            a, b = cut[p], cut[p + 1]
+            first = np.flatnonzero(np.concatenate(([True], t[a + 1 : b] != t[a : b - 1])))
+            found.append((int(p), h[a:b].tobytes(), t[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "hashes", "tids", "counts"])
+
     def run(batches):
-        shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
+        hashes, tids, seen, size = [], [], set(), 0
         for batch in batches:
-            hashes, tids, seen, size = [], [], set(), 0
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1)))
-            for i, (tid, text) in enumerate(rows):
-                if tid not in seen:
-                    seen.add(tid)
-                    data = text.as_py()
-                    h = np.unique(anchored_runs(data, length, k)[2])
-                    hashes.append(h)
-                    tids.append(np.full(len(h), tid, np.int64))
-                    size += len(h)
-                if size and (i == len(rows) - 1 or size > 1_000_000):
-                    h, t = np.concatenate(hashes), np.concatenate(tids)
-                    o = np.argsort(h >> shift, kind="stable")
-                    h, t = h[o], t[o]
-                    cut = np.searchsorted(h >> shift, np.arange(ranges + 1, dtype=np.uint64))
-                    found = []
-                    for p in range(ranges):
-                        a, b = cut[p], cut[p + 1]
-                        if b > a:
-                            first = np.flatnonzero(np.concatenate(([True], t[a + 1 : b] != t[a : b - 1])))
-                            found.append((p, h[a:b].tobytes(), t[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "hashes", "tids", "counts"])
-                    hashes, tids, size = [], [], 0
+            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if tid in seen:
+                    continue
+                seen.add(tid)
+                h = np.unique(anchored_runs(text.as_py(), length, k)[2])
+                hashes.append(h)
+                tids.append(np.full(len(h), tid, np.int64))
+                size += len(h)
+                if size > per_pack:
+                    yield packed(hashes, tids)
+                    hashes, tids, seen, size = [], [], set(), 0
+        if size:
+            yield packed(hashes, tids)
 
     return run
 
@@ -298,24 +304,23 @@ def _send_segments(length: int, k: int, buckets: int, crowded: np.ndarray, pack_
     the others lose its bytes at once (a row with bucket below 0, passed on as it is)."""
 
     def run(batches):
+        done, size = [], 0
         for batch in batches:
-            docs, subs, texts, lists = (batch.column(i) for i in range(4))
-            order = np.lexsort((subs.to_numpy(), docs.to_numpy()))
-            docs, subs = docs.to_numpy(), subs.to_numpy()
-            done, size = [], 0
-            for n, i in enumerate(order):
-                data = texts[i].as_py()
-                wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists[i].as_py()]))
+            for doc, sub, text, found in zip(*(batch.column(i) for i in range(4))):
+                data = text.as_py()
+                wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in found.as_py()]))
                 first, last, h = anchored_runs(data, length, k)
                 at = np.searchsorted(wanted, h)
                 at[at == len(wanted)] = 0
                 hit = wanted[at] == h
                 first, last, h = singled(data, first[hit], last[hit], h[hit])
-                done.append((i, data, first, last, (h % np.uint64(buckets)).astype(np.int64)))
+                done.append((doc.as_py(), sub.as_py(), data, first, last, (h % np.uint64(buckets)).astype(np.int64)))
                 size += int((last - first + length).sum())
-                if size > pack_bytes or n == len(order) - 1:
-                    yield from pack(done, docs, subs)
+                if size > pack_bytes:
+                    yield from pack(done)
                     done, size = [], 0
+        if done:
+            yield from pack(done)
 
     def singled(data, first, last, h):
         """The runs around crowded anchors as windows of their own, with their hashes for the anchors'."""
@@ -330,12 +335,13 @@ def _send_segments(length: int, k: int, buckets: int, crowded: np.ndarray, pack_
         code = np.concatenate([_gram_hashes(np.frombuffer(data, np.uint8, int(z - y) + length, int(y)), length) for y, z in zip(a, last[many])])
         return np.concatenate((first[~many], own)), np.concatenate((last[~many], own)), np.concatenate((h[~many], code))
 
-    def pack(done, docs, subs):
+    def pack(done):
+        done.sort(key=lambda x: x[:2])
+        docs, subs = np.array([x[0] for x in done], np.int64), np.array([x[1] for x in done], np.int32)
         seen: dict[bytes, int] = {}
         segments, owner, starts, to = [], [], [], []
         local: list[tuple] = []
-        for i, data, first, last, bucket in done:
-            doc = docs[i]
+        for i, (doc, sub, data, first, last, bucket) in enumerate(done):
             mine = []
             for a, b, p in zip(first.tolist(), (last + length).tolist(), bucket.tolist()):
                 s = data[a:b]
@@ -349,13 +355,14 @@ def _send_segments(length: int, k: int, buckets: int, crowded: np.ndarray, pack_
                     mine.append((a, b))
             if mine:
                 x = np.array(mine, np.int64)
-                local.append((-1 - int(doc) % buckets, b"", (x[:, 1] - x[:, 0]).astype(np.int32).tobytes(), np.array([doc], np.int64).tobytes(), np.array([subs[i]], np.int32).tobytes(), x[:, 0].astype(np.int32).tobytes()))
-        to, owner, starts = np.array(to, np.int64), np.array(owner, np.int64), np.array(starts, np.int64)
+                local.append((-1 - doc % buckets, b"", (x[:, 1] - x[:, 0]).astype(np.int32).tobytes(), docs[i : i + 1].tobytes(), subs[i : i + 1].tobytes(), x[:, 0].astype(np.int32).tobytes()))
+        del seen
+        to, owner, starts = np.array(to, np.int32), np.array(owner, np.int32), np.array(starts, np.int32)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(buckets + 1))
         for p in np.flatnonzero(np.diff(cut)):
             x = order[cut[p] : cut[p + 1]]
-            local.append((int(p), b"".join([segments[j] for j in x]), np.array([len(segments[j]) for j in x], np.int32).tobytes(), docs[owner[x]].astype(np.int64).tobytes(), subs[owner[x]].astype(np.int32).tobytes(), starts[x].astype(np.int32).tobytes()))
+            local.append((int(p), b"".join([segments[j] for j in x]), np.array([len(segments[j]) for j in x], np.int32).tobytes(), docs[owner[x]].tobytes(), subs[owner[x]].tobytes(), starts[x].tobytes()))
         for i in range(0, len(local), 2000):
             kinds = (pa.int32(), *[pa.binary()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*local[i : i + 2000]), kinds)], ["bucket", "segments", "lengths", "docs", "subs", "starts"])
@@ -468,7 +475,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_byte
     sent = long_enough.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(_send_anchors(length, gram, ranges), "part int, hashes binary, tids binary, counts binary")
     least_crowded = least_crowded or max(20_000, int(total or 0) // MOST_CROWDED)
     there = sent.repartition("part").sortWithinPartitions("part")
-    shared = materialize(there.mapInArrow(_shared_anchors(least_crowded, slab), "tid long, hashes binary"))
+    shared = materialize(there.mapInArrow(_shared_anchors(least_crowded, slab), "tid long, hashes binary"), arrow_rows=WIDE_ROWS)
     crowded = np.unique(np.frombuffer(b"".join(r["hashes"] for r in shared.where("tid IS NULL").select("hashes").collect()), np.uint64))
     lists = materialize(shared.where("tid IS NOT NULL").groupBy("tid").agg(F.collect_list("hashes").alias("lists")).join(ranked, "tid").select("doc_id", "md5", "sub", "lists"))
     segments = (
@@ -478,7 +485,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_byte
     lost = materialize(
         segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lost_intervals(length), "doc_id long, sub int, lost binary")
         .groupBy("doc_id", "sub").agg(F.collect_list("lost").alias("lost"))
-        .join(ranked, ["doc_id", "sub"]).select("doc_id", "md5", "lost")
+        .join(ranked, ["doc_id", "sub"]).select("doc_id", "md5", "lost"),
+        arrow_rows=WIDE_ROWS,
     )
     copies = ids.join(firsts.select("md5", F.col("doc_id").alias("first")), "md5").where("doc_id > first").select("doc_id", "md5", F.lit(True).alias("copy"))
     marked = maybe_in(base, "doc_id", lost.select("doc_id"))
