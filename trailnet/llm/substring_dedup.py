@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import blocks_for, materialize, maybe_in
 
 SLICE = 1 << 18
-SLAB = 1 << 20
+SLAB = 1 << 18
+#: Parts of a hash range that are read one after the other.
+SUBRANGES = 8
 MOST_CROWDED = 500_000
 #: Of a batch for Python: texts, or packs of up to a few hundred KB.
 WIDE_ROWS = 64
@@ -173,19 +175,20 @@ def shared_windows(segments: list[bytes], length: int) -> tuple[np.ndarray, np.n
 
 
 def _send_anchors(length: int, k: int, ranges: int, per_pack: int = 1_000_000):
-    shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
+    shift = np.uint64(64 - max(1, (ranges * SUBRANGES - 1).bit_length()))
 
     def packed(hashes, tids):
         h, t = np.concatenate(hashes), np.concatenate(tids)
         o = np.argsort(h >> shift, kind="stable")
         h, t = h[o], t[o]
-        cut = np.searchsorted(h >> shift, np.arange(ranges + 1, dtype=np.uint64))
+        cut = np.searchsorted(h >> shift, np.arange(ranges * SUBRANGES + 1, dtype=np.uint64))
         found = []
         for p in np.flatnonzero(np.diff(cut)):
             a, b = cut[p], cut[p + 1]
             first = np.flatnonzero(np.concatenate(([True], t[a + 1 : b] != t[a : b - 1])))
-            found.append((int(p), h[a:b].tobytes(), t[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "hashes", "tids", "counts"])
+            found.append((int(p) // SUBRANGES, int(p) % SUBRANGES, h[a:b].tobytes(), t[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], ["part", "sub", "hashes", "tids", "counts"])
 
     def run(batches):
         hashes, tids, seen, size = [], [], set(), 0
@@ -222,13 +225,14 @@ def _by_first(batches):
         yield at, rows
 
 
-def _shared_anchors(least_crowded: int, slab: int = SLAB):
+def _shared_anchors(least_crowded: int, slab: int = SLAB, held_entries: int = 1 << 21):
     """Hash range by hash range: to each text its hashes that another text has too; crowded hashes, those with least_crowded texts,
-    go without a text. A range holds its distinct hashes, with the first text met, and a slab of what is sent to it."""
+    go without a text. Of a range's part the distinct hashes are held, with the first text met, and a slab of what is sent to it; of a range
+    at most held_entries of what it tells the texts."""
 
     def slabs(rows):
         held, size = [], 0
-        for hashes, tids, counts in rows:
+        for _, hashes, tids, counts in rows:
             held.append((hashes, tids, counts))
             size += len(hashes) // 8
             if size >= slab:
@@ -253,38 +257,49 @@ def _shared_anchors(least_crowded: int, slab: int = SLAB):
             c = cut[i : i + 5001]
             yield pa.RecordBatch.from_arrays([pa.array(t[c[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(c[:-1], c[1:])], pa.binary())], ["tid", "hashes"])
 
+    def met(rows):
+        """(texts, hashes) slab by slab, then (None, crowded hashes)."""
+        known, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        told, seen = np.zeros(0, bool), np.zeros(0, np.int64)
+        for h, t in slabs(rows):
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            own, n = h[first], np.diff(np.append(first, len(h)))
+            at = np.searchsorted(known, own)
+            old = np.zeros(len(own), bool)
+            inside = at < len(known)
+            old[inside] = known[at[inside]] == own[inside]
+            lead = t[first]  # of a new hash, the text that stands for it
+            lead[old] = owner[at[old]]
+            several = (np.minimum.reduceat(t, first) != lead) | (np.maximum.reduceat(t, first) != lead)
+            was = np.zeros(len(own), bool)
+            was[old] = told[at[old]]
+            # All texts of the slab, and once the one met before.
+            late, rows_of = several & old & ~was, np.repeat(several | was, n)
+            yield np.concatenate((t[rows_of], lead[late])), np.concatenate((h[rows_of], own[late]))
+            seen[at[old]] += n[old]
+            told[at[old]] |= several[old]
+            new = ~old
+            known, owner = np.insert(known, at[new], own[new]), np.insert(owner, at[new], lead[new])
+            told, seen = np.insert(told, at[new], several[new]), np.insert(seen, at[new], n[new])
+        yield None, known[seen >= least_crowded]
+
     def run(batches):
         for rows in _runs_of_first(batches):
-            known, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            told, seen = np.zeros(0, bool), np.zeros(0, np.int64)
-            for h, t in slabs(rows):
-                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                ends = np.append(first[1:], len(h))
-                own = h[first]
-                at = np.searchsorted(known, own)
-                old = np.zeros(len(own), bool)
-                inside = at < len(known)
-                old[inside] = known[at[inside]] == own[inside]
-                low, high = np.minimum.reduceat(t, first), np.maximum.reduceat(t, first)
-                lead = t[first]  # of a new hash, the text that stands for it
-                lead[old] = owner[at[old]]
-                several = (low != lead) | (high != lead)
-                was = np.zeros(len(own), bool)
-                was[old] = told[at[old]]
-                # All texts of the slab, and once the one met before.
-                rows_h, rows_t = h[np.repeat(several | was, ends - first)], t[np.repeat(several | was, ends - first)]
-                late = several & old & ~was
-                yield from grouped(np.concatenate((rows_t, lead[late])), np.concatenate((rows_h, own[late])))
-                seen[at[old]] += (ends - first)[old]
-                told[at[old]] |= several[old]
-                new = ~old
-                known, owner = np.concatenate((known, own[new])), np.concatenate((owner, lead[new]))
-                told, seen = np.concatenate((told, several[new])), np.concatenate((seen, (ends - first)[new]))
-                o = np.argsort(known, kind="stable")
-                known, owner, told, seen = known[o], owner[o], told[o], seen[o]
-            crowded = known[seen >= least_crowded]
-            if len(crowded):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([crowded.tobytes()], pa.binary())], ["tid", "hashes"])
+            texts, hashes, size = [], [], 0
+            for _, part in groupby(rows, key=lambda x: x[0]):
+                for t, h in met(part):
+                    if t is None:
+                        if len(h):
+                            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([h.tobytes()], pa.binary())], ["tid", "hashes"])
+                        continue
+                    texts.append(t)
+                    hashes.append(h)
+                    size += len(t)
+                    if size > held_entries:
+                        yield from grouped(np.concatenate(texts), np.concatenate(hashes))
+                        texts, hashes, size = [], [], 0
+            if size:
+                yield from grouped(np.concatenate(texts), np.concatenate(hashes))
 
     return run
 
@@ -472,9 +487,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_byte
     firsts = ids.groupBy("md5", "tid").agg(F.min("doc_id").alias("doc_id"))
     # Texts that share a doc_id are told apart by sub.
     ranked = firsts.selectExpr("*", "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY md5) - 1 AS INT) AS sub")
-    sent = long_enough.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(_send_anchors(length, gram, ranges), "part int, hashes binary, tids binary, counts binary")
+    sent = long_enough.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(_send_anchors(length, gram, ranges), "part int, sub int, hashes binary, tids binary, counts binary")
     least_crowded = least_crowded or max(20_000, int(total or 0) // MOST_CROWDED)
-    there = sent.repartition("part").sortWithinPartitions("part")
+    there = sent.repartition("part").sortWithinPartitions("part", "sub")
     shared = materialize(there.mapInArrow(_shared_anchors(least_crowded, slab), "tid long, hashes binary"), arrow_rows=WIDE_ROWS)
     crowded = np.unique(np.frombuffer(b"".join(r["hashes"] for r in shared.where("tid IS NULL").select("hashes").collect()), np.uint64))
     lists = materialize(shared.where("tid IS NOT NULL").groupBy("tid").agg(F.collect_list("hashes").alias("lists")).join(ranked, "tid").select("doc_id", "md5", "sub", "lists"))
