@@ -33,7 +33,9 @@ from .common import blocks_for, materialize, maybe_in
 SLICE = 1 << 18
 SLAB = 1 << 18
 #: Parts of a hash range that are read one after the other.
-SUBRANGES = 8
+SUBRANGES = 32
+#: Of a shuffle, however many ranges or buckets there are.
+MOST_PARTITIONS = 100_000
 MOST_CROWDED = 500_000
 #: Of a batch for Python: texts, or packs of up to a few hundred KB.
 WIDE_ROWS = 64
@@ -468,7 +470,7 @@ def _apply(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_bytes: int = 32 << 20, bucket_bytes: int = 2 << 20, least_crowded: int | None = None, slab: int = SLAB) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_bytes: int = 128 << 20, bucket_bytes: int = 2 << 20, least_crowded: int | None = None, slab: int = SLAB) -> DataFrame:
     """One row per row of docs(doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     A byte is removed if a string of length bytes over it also starts in a document with a smaller doc_id.
@@ -489,7 +491,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_byte
     ranked = firsts.selectExpr("*", "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY md5) - 1 AS INT) AS sub")
     sent = long_enough.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(_send_anchors(length, gram, ranges), "part int, sub int, hashes binary, tids binary, counts binary")
     least_crowded = least_crowded or max(20_000, int(total or 0) // MOST_CROWDED)
-    there = sent.repartition("part").sortWithinPartitions("part", "sub")
+    there = sent.repartition(min(ranges, MOST_PARTITIONS), "part").sortWithinPartitions("part", "sub")
     shared = materialize(there.mapInArrow(_shared_anchors(least_crowded, slab), "tid long, hashes binary"), arrow_rows=WIDE_ROWS)
     crowded = np.unique(np.frombuffer(b"".join(r["hashes"] for r in shared.where("tid IS NULL").select("hashes").collect()), np.uint64))
     lists = materialize(shared.where("tid IS NOT NULL").groupBy("tid").agg(F.collect_list("hashes").alias("lists")).join(ranked, "tid").select("doc_id", "md5", "sub", "lists"))
@@ -498,7 +500,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, range_byte
         .mapInArrow(_send_segments(length, gram, buckets, crowded), _SENT)
     )
     lost = materialize(
-        segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lost_intervals(length), "doc_id long, sub int, lost binary")
+        segments.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_lost_intervals(length), "doc_id long, sub int, lost binary")
         .groupBy("doc_id", "sub").agg(F.collect_list("lost").alias("lost"))
         .join(ranked, ["doc_id", "sub"]).select("doc_id", "md5", "lost"),
         arrow_rows=WIDE_ROWS,
