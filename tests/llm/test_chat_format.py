@@ -45,3 +45,15 @@ def test_parts_become_placeholders_in_order(spark):
 
 def test_empty_table(spark):
     assert cf.digest(cf.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(pieces, st.sampled_from([{"type": "image"}, {"type": "audio"}, {"type": "odd"}])), max_size=6))
+def test_texts_between_attachments_come_back(parts):
+    v = cf.PartVisitor(len)
+    for x in parts:
+        v.visit({"type": "text", "text": x} if isinstance(x, str) else x)
+    v.done()
+    done = cf.START + cf.OPEN + "user\n" + "".join(v.pieces) + cf.CLOSE
+    kinds = [x["type"] if x["type"] in cf.KINDS else "file" for x in parts if not isinstance(x, str)]
+    assert cf.read_back(done) == [("user", "".join(x for x in parts if isinstance(x, str)), kinds)]

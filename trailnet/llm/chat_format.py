@@ -52,6 +52,7 @@ class PartVisitor:
     def __init__(self, count_tokens, patch: int = 28, tokens_per_second: float = 25.0, tokens_per_page: int = 512, unknown: int = 256):
         self.count_tokens, self.patch, self.per_second, self.per_page, self.unknown = count_tokens, patch, tokens_per_second, tokens_per_page, unknown
         self.pieces: list[str] = []
+        self.pending: list[str] = []  # texts next to each other, escaped as one
         self.attachments: list[dict] = []
         self.tokens = self.length = 0
 
@@ -62,7 +63,7 @@ class PartVisitor:
     def visit_text(self, part: dict) -> None:
         text = part.get("text") or ""
         self.tokens += self.count_tokens(text)
-        self._add(escape(text))
+        self.pending.append(text)
 
     def visit_image(self, part: dict) -> None:
         w, h = part.get("width"), part.get("height")
@@ -79,7 +80,14 @@ class PartVisitor:
     def visit_file(self, part: dict) -> None:
         self._attach("file", part, self.unknown)
 
+    def done(self) -> None:
+        """Write out the texts since the last attachment."""
+        if self.pending:
+            self._add(escape("".join(self.pending)))
+            self.pending = []
+
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.done()
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "at": self.length, "tokens": tokens})
         self.tokens += tokens
         self._add(f"<|{kind}|>")
@@ -131,6 +139,7 @@ def _format(tokenizer_file: str | None, answer_roles: tuple[str, ...], per_batch
                 v = PartVisitor(count)
                 for part in parts if parts is not None else [{"type": "text", "text": text}]:
                     v.visit(part or {})
+                v.done()
                 answer = role in answer_roles
                 head = (OPEN_ANSWER if answer else OPEN) + _escape_role(role or "") + "\n"
                 start = now["length"] + len(head)
@@ -170,7 +179,8 @@ def read_back(formatted: str) -> list[tuple[str, str, list[str]]]:
             at = m.end()
         elif m[0] in (CLOSE, CLOSE_ANSWER):
             role, _, body = formatted[at : m.start()].partition("\n")
-            out.append((_unescape_role(role), "".join(map(unescape, _PLACEHOLDER.sub("\0|\0", body).split("\0|\0"))) if _PLACEHOLDER.search(body) else unescape(body), _PLACEHOLDER.findall(body)))
+            pieces = _PLACEHOLDER.split(body)  # texts and, between them, kinds
+            out.append((_unescape_role(role), "".join(map(unescape, pieces[::2])), pieces[1::2]))
     return out
 
 
