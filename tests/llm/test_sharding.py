@@ -15,8 +15,9 @@ def brute(rows, shards, seed):
         by["" if s is None else "=" + s].append((hashlib.md5(f"{seed}/{'' if d is None else d}".encode()).hexdigest(), d if d is not None else float("-inf"), zlib.crc32(data), len(data) + 1, d))
     order = []
     for s, own in by.items():
-        for r, x in enumerate(sorted(own), 1):
-            order.append((int(Fraction(2 * r - 1, 2 * len(own)) * 2**40), s, x))
+        phase = Fraction(zlib.crc32(f"{s}/{seed}".encode()) % 65536, 65536)
+        for r, x in enumerate(sorted(own)):
+            order.append((int((r + phase) / len(own) * 2**40), s, x))
     order.sort()
     n, out = len(order), []
     starts = [k * n // shards for k in range(shards + 1)]
@@ -54,3 +55,10 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, back.select("doc_id", "text", "source").collect()), key=str) == sorted(corpus(), key=str)
+
+
+def test_sources_of_one_row_spread(spark):
+    rows = [(i, "t", f"own{i}" if i % 2 else "hot") for i in range(400)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 8, 42, 20).collect()
+    share = Counter(r.shard for r in got if r.source != "hot")
+    assert all(10 <= share[k] <= 40 for k in range(8))

@@ -40,7 +40,7 @@ def op7_minhash_dedup(spark, sf_dir):
 
 
 def op8_sharding(spark, sf_dir):
-    return sharding.interleave(table(spark, sf_dir, "documents"))
+    return sharding.interleave(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op9_best_fit_packing(spark, sf_dir):

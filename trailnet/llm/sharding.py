@@ -1,7 +1,7 @@
 """Shards with the mixture of the whole: proportional stratified interleaving.
 
-Rows are shuffled within their source by a seeded hash and ranked there. Row number r of n has the fraction (2r - 1) / 2n;
-sorted by this fraction, every stretch of rows holds each source in proportion. The order is cut into shards of equal
+Rows are shuffled within their source by a seeded hash and ranked there. Row number r of n has the fraction (r - 1 + p) / n, where p, from 0
+to 1, is the source's own phase, so that sources of few rows don't all meet in one place; sorted by this fraction, every stretch of rows holds each source in proportion. The order is cut into shards of equal
 row counts, at most one apart.
 
 Ranks are counted without gathering a source or the table in one task: rows fall into bins by their hash (or fraction), which
@@ -21,6 +21,8 @@ from .common import blocks_for, materialize
 
 #: Of sources, so many are a small table.
 FEW_STRATA = 100_000
+#: Steps of a stratum's phase.
+PHASES = 1 << 16
 
 
 def bin_rows(total: int, least: int = 1000) -> int:
@@ -63,8 +65,9 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 42, rows_per_bin: i
     first = F.conv(F.substring("_shuffle", 1, 8), 16, 10).cast("long")
     bins = F.floor(first * F.ceil(F.col("_n") / rows_per_bin) / F.lit(float(1 << 32))).cast("long")
     ranked = distributed_rank(sized, ["_stratum", "_n"], bins, order, "_rank")
-    # (2r - 1) / 2n as a whole number, rounded down: ties go on to the stratum.
-    ranked = ranked.withColumn("_fraction", F.expr(f"CAST((2 * _rank - 1) * CAST({1 << 40} AS DECIMAL(20, 0)) / (2 * _n) AS BIGINT)"))
+    # As a whole number of 2^-40ths, rounded down: ties go on to the stratum.
+    phase = F.pmod(F.crc32(F.concat("_stratum", F.lit(f"/{seed}"))), F.lit(PHASES))
+    ranked = ranked.withColumn("_phase", phase).withColumn("_fraction", F.expr(f"CAST(((_rank - 1) * {PHASES} + _phase) * CAST({(1 << 40) // PHASES} AS DECIMAL(20, 0)) / _n AS BIGINT)")).drop("_phase")
     parts = blocks_for(total, rows_per_bin)
     placed = distributed_rank(ranked.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("_fraction") * F.lit(parts) / F.lit(float(1 << 40))).cast("long"), [F.col("_fraction"), F.col("_stratum"), *order], "_place")
     # Shard k has the places from floor(k * total / shards) on.
