@@ -35,7 +35,6 @@ _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27
 _NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[\d@$!|+€£¡*~_\-.·/\\].*|.*(.)\1\1.*)", re.S)
-MAX_TOKEN = 40
 
 
 def count_trigrams(docs: DataFrame) -> np.ndarray:
@@ -72,35 +71,37 @@ def _kind(c: str) -> int:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a lower-case token: Viterbi over states of the last two letters.
+    """The likeliest letters behind a lower-case token: Viterbi over states of the last two letters, whatever the token's length.
 
-    A token over MAX_TOKEN characters is decoded in pieces of that length.
+    A path is a chain of its letters, last one first, that paths share as far as they are one.
     """
-    if len(token) > MAX_TOKEN:
-        return "".join(decode(token[i : i + MAX_TOKEN], model) for i in range(0, len(token), MAX_TOKEN))
-    beam: dict[tuple, tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    beam: dict[tuple, tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     for c in token:
-        new: dict[tuple, tuple[float, str]] = {}
+        new: dict[tuple, tuple[float, tuple | None]] = {}
         ways = [(c, 0.0)] if c.isalpha() else []
         ways += [(x, REPLACE) for x in LEET.get(c, "")]
         drop = SEPARATE if c in SEPARATORS else None if c.isalpha() else DROP
-        for (a, b, last), (score, text) in beam.items():
+        for (a, b, last), (score, path) in beam.items():
             for x, cost in ways:
                 k = _kind(x)
                 key, s = (b, k, x), score + cost + float(model[a, b, k])
                 if key not in new or s > new[key][0]:
-                    new[key] = (s, text + x)
+                    new[key] = (s, (path, x))
                 if x == last:
                     key, s = (a, b, last), score + cost + REPEAT
                     if key not in new or s > new[key][0]:
-                        new[key] = (s, text)
+                        new[key] = (s, path)
             if drop is not None:
                 key, s = (a, b, last), score + drop
                 if key not in new or s > new[key][0]:
-                    new[key] = (s, text)
+                    new[key] = (s, path)
         beam = new
-    ends = ((s + float(model[a, b, 0]), text) for (a, b, _), (s, text) in beam.items())
-    return max(ends, default=(0.0, token))[1] or token
+    _, path = max(((s + float(model[a, b, 0]), path) for (a, b, _), (s, path) in beam.items()), key=lambda x: x[0], default=(0.0, None))
+    letters = []
+    while path:
+        path, x = path
+        letters.append(x)
+    return "".join(reversed(letters)) or token
 
 
 def restore(token: str, model: np.ndarray) -> str:
@@ -193,10 +194,14 @@ class Scorer:
             self.coef = self.coef - np.linalg.solve(hess, grad)
 
 
+#: Of all documents, the finest share that a sample can have.
+SHARES = 1 << 60
+
+
 def weigh(pos: float, neg: float, all_pos: int, all_neg: int, least_g: float) -> float:
     """Log odds of a feature that pos of all_pos toxic and neg of all_neg clean documents have, less its standard error; 0
     where it doesn't point to toxic documents or the likelihood ratio statistic is under least_g."""
-    if pos <= 0 or all_pos <= 0 or all_neg <= 0 or pos * all_neg <= neg * all_pos:
+    if pos <= 0 or neg < 0 or all_pos <= 0 or all_neg <= 0 or pos * all_neg <= neg * all_pos:
         return 0.0
     share = (pos + neg) / (all_pos + all_neg)
     cells = ((pos, all_pos * share), (neg, all_neg * share), (all_pos - pos, all_pos * (1 - share)), (all_neg - neg, all_neg * (1 - share)))
@@ -215,10 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, toxic_docs: in
     n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = F.lit(0)
     for k, most in ((0, clean_docs), (1, toxic_docs)):
-        share = F.when(F.col("toxic") == k, max(1, min(1_000_000, 1_000_000 * most // n.get(k, 1)))).otherwise(share)
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < share).select("doc_id", "toxic")
-    # The ids of the sample, of bounded number, go to the texts; the texts of the sample are kept.
-    sample = materialize(docs.join(F.broadcast(chosen.limit(2 * (toxic_docs + clean_docs))), "doc_id").select("text", "toxic"))
+        share = F.when(F.col("toxic") == k, min(SHARES, SHARES * most // n.get(k, 1))).otherwise(share)
+    # About as many as are asked for, of however many there are: their ids can go to the texts.
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(SHARES)) < share).select("doc_id", "toxic")
+    sample = materialize(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
