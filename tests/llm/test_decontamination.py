@@ -17,7 +17,7 @@ def brute(docs, items, share, least):
             for d in range(-len(x) + 1, len(w)):
                 a, b = max(0, -d), min(len(x), len(w) - d)
                 eq = [x[i] == w[i + d] for i in range(a, b)]
-                if not any(all(eq[i + k] for k, c in enumerate(m) if c == "1") for m in dc.MASKS for i in range(len(eq) - len(m) + 1)):
+                if not any(all(eq[i + k] for k, c in enumerate(m) if c == "1") for m in dc.MASKS for i in range(len(eq) - len(m) + 1)) and not (len(eq) == len(x) < 6 and all(eq)):
                     continue
                 score, s, e = max(((sum(1 if v else -dc.PENALTY for v in eq[i:j]), -j, i, j) for i in range(len(eq)) for j in range(i + 1, len(eq) + 1)))[0], None, None
                 best = next((i, j) for j in range(1, len(eq) + 1) for i in range(j) if sum(1 if v else -dc.PENALTY for v in eq[i:j]) == score)
@@ -59,3 +59,12 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(d, b).count() == 0
     assert dc.decontaminate(spark.createDataFrame([(1, "a b c d e f g")], d.schema), b).first().contaminated is False
+
+
+def test_short_items_long_texts_and_long_items(spark):
+    r = random.Random(6)
+    filler = " ".join(f"f{r.randint(0, 10**6)}" for _ in range(60_000))
+    long = " ".join(f"g{i}" for i in range(400))
+    d = spark.createDataFrame([(1, "A quick brown fox jumps, again"), (2, "quick brown fox"), (3, f"{filler} quick brown fox jumps {filler}"), (4, "x " + " ".join(long.split()[100:145])), (5, "x " + " ".join(long.split()[100:130]))], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "quick brown fox jumps"), (8, long)], "item_id long, text string")
+    assert {x.doc_id: list(x.item_ids) for x in dc.decontaminate(d, b).collect()} == {1: [7], 2: [], 3: [7], 4: [8], 5: []}

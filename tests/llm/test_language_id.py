@@ -38,3 +38,18 @@ def test_edge_rows(spark):
 
 def test_empty_table(spark):
     assert li.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_scores_match_a_network_read_word_by_word(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, net = model = li.train(docs.select("doc_id", "text", "lang"), docs_per_lang=20)
+    rows = [(1, "the and of"), (2, "der und die nicht das " * 9), (3, "漢字" * 900), (4, "a" * 5000), (5, "the THE the"), (5, "the THE the")]
+    got = {r.doc_id: r for r in li.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for doc, text in rows:
+        words = li._pieces(text)
+        assert b"".join(words).decode().replace("the", "") is not None and all(w.decode() for w in words)  # cut between characters
+        per = [net.log_probs(*li.padded([w]))[0][:, 0] for w in words]
+        mean = np.concatenate(per).mean(0)
+        y = (mean - net.p["prior"]) * min(len(words), 12) + net.p["prior"]
+        p = np.exp(y - y.max())
+        assert got[doc].lang_pred == langs[int(p.argmax())] and abs(got[doc].score - p.max() / p.sum()) < 1e-3

@@ -26,6 +26,8 @@ from .common import materialize
 MASKS = ("111111", "1110111", "11011011", "110100111")
 SPANS = [len(m) for m in MASKS]
 PENALTY = 2
+#: Equal words of a stretch that are a leak, however long the item.
+ENOUGH = 40
 FILTER_BITS, FILTER_HASHES = 1 << 24, 4
 _RNG = np.random.default_rng(2718)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,10 +65,10 @@ def word_hashes(text: str | None) -> np.ndarray:
     return _mix((c[end] - c[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of every window under every mask. A text shorter than a mask is one window under as much of it."""
+def seeds(words: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of every window under every mask, and of every short number of words in a row."""
     at, hashes = [], []
-    for k, mask in enumerate(MASKS):
+    for k, mask in [*enumerate(MASKS), *((100 + n, "1" * n) for n in short)]:
         n = len(words) - len(mask) + 1
         if n > 0:
             h = np.full(n, k + 1, np.uint64)
@@ -88,7 +90,8 @@ def _item_seeds(batches):
     for batch in batches:
         for item, text in zip(*(c.to_pylist() for c in batch.columns)):
             w = word_hashes(text)
-            at, h = seeds(w)
+            # An item that is shorter than any mask is one window.
+            at, h = seeds(w, (len(w),) if 0 < len(w) < min(SPANS) else ())
             if len(h):
                 h, at = h.view(np.int64), at.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), item, np.int64)), pa.array(at)], ["seed", "item", "q"])
@@ -121,7 +124,7 @@ def seed_filter(item_seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def _candidates(bits, reach: int):
+def _candidates(bits, reach: int, short: tuple[int, ...]):
     """For each document, stretches of words around windows that may be a seed of the benchmark's: where they start, the words, the windows."""
 
     def run(batches):
@@ -130,7 +133,7 @@ def _candidates(bits, reach: int):
             out = []
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 w = word_hashes(text)
-                at, h = seeds(w)
+                at, h = seeds(w, short)
                 if not len(h):
                     continue
                 live = np.arange(len(h))
@@ -161,8 +164,8 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
-def needed(n_words: int, share: float, least: int) -> int:
-    return max(min(least, n_words), int(np.ceil(share * n_words)))
+def needed(n_words: int, share: float, least: int, enough: int = ENOUGH) -> int:
+    return max(min(least, n_words), min(enough, int(np.ceil(share * n_words))))
 
 
 def _verify(share: float, least: int):
@@ -193,18 +196,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: i
     """Verified overlaps of docs(doc_id, text) with benchmark(item_id, text): doc_id, key, item_id, start, end (words), matched.
 
     Words: runs of letters and digits (any character beyond ASCII counts as a letter), in lower case. A stretch of an item in a document
-    is enough if its equal words are at least share of the item's and at least least of them (all, if the item has fewer). It must hold a
-    seed, so six equal words under one of MASKS. key is a hash of the text. Items with under six words, null and empty texts have
-    no seeds and never match; a null item_id is item -1. Other columns are ignored.
+    is enough if its equal words are at least share of the item's, or ENOUGH, and at least least of them (all, if the item has fewer). It must hold a
+    seed, so six equal words under one of MASKS. key is a hash of the text. Items with under six words match where all of
+    them stand in a row; null and empty texts never match; a null item_id is item -1. Other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item"), "text").where("text IS NOT NULL").distinct()
     item_seeds = materialize(items.mapInArrow(_item_seeds, "seed long, item long, q int"))
     item_words = materialize(items.mapInArrow(_item_words, "item long, n_words int, words binary"))
     reach = item_words.agg(F.max("n_words")).first()[0] or 1
+    short = tuple(sorted(r["n_words"] for r in item_words.where(f"n_words BETWEEN 1 AND {min(SPANS) - 1}").select("n_words").distinct().collect()))
     bits = spark.sparkContext.broadcast(seed_filter(item_seeds))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    found = materialize(rows.mapInArrow(_candidates(bits, reach), "doc_id long, key long, first int, words binary, at array<int>, seeds array<long>").withColumn("stretch", F.xxhash64("doc_id", "key", "first")))
+    found = materialize(rows.mapInArrow(_candidates(bits, reach, short), "doc_id long, key long, first int, words binary, at array<int>, seeds array<long>").withColumn("stretch", F.xxhash64("doc_id", "key", "first")))
     hits = found.select("stretch", F.explode(F.arrays_zip("at", "seeds")).alias("s")).select("stretch", F.col("s.at").alias("p"), F.col("s.seeds").alias("seed"))
     hits = hits.join(item_seeds, "seed").select("stretch", "item", (F.col("p") - F.col("q")).alias("d")).distinct()
     lists = hits.groupBy("stretch", "item").agg(F.collect_list("d").alias("diagonals"))

@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained here by backpropagation through time.
 
-The network reads the bytes of a word (at most PIECE of them; longer words are read in pieces), in both directions, and
-gives every byte position a probability for each language. A document pools the log probabilities of all its positions,
-word by word. Words repeat, so a task labels each distinct word once and keeps the result, in a table of bounded size.
+The network reads the bytes of a word in both directions, and gives every byte position a probability for each language. A
+document pools the log probabilities of all its positions, each with the same weight. Words repeat, so a task labels the positions of each
+distinct word once and keeps their sum, in a table of bounded size. What has no spaces for PIECE bytes is read in such pieces, cut
+between characters.
 """
 
 from __future__ import annotations
@@ -12,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 24
+PIECE = 1024
+#: Positions that the network reads at once.
+AT_ONCE = 4096 * 24
+#: Of all documents, the finest share that a sample can have.
+SHARES = 1 << 60
 #: Letters A-Z in lower case, other ASCII as spaces, the rest as it is.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -20,10 +25,21 @@ _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 def _pieces(text: str) -> list[bytes]:
     words = text.encode().translate(_CLEAN).split()
     if any(len(w) > PIECE for w in words):
-        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+        words = [p for w in words for p in _cut(w)]
     return words
 
 
+def _cut(word: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(word):
+        end = at + PIECE
+        while end < len(word) and end > at + PIECE - 4 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return out
+
+
 def _has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
@@ -117,14 +133,19 @@ class ByteGRU:
                     self.p[k] -= (lr * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """For each word the mean over its positions of their log probabilities."""
-        out = np.zeros((len(words), len(self.p["c"])), np.float32)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for at in range(0, len(words), 4096):
-            own = order[at : at + 4096]
+        """For each word the sum over its positions of their log probabilities, and the number of these."""
+        out = np.zeros((len(words), len(self.p["c"]) + 1), np.float32)
+        out[:, -1] = lens = np.array([len(w) for w in words])
+        order = np.argsort(lens, kind="stable")
+        at = 0
+        while at < len(words):
+            end = min(at + 4096, len(words))
+            end = at + max(1, min(end - at, AT_ONCE // int(lens[order[end - 1]])))
+            own = order[at:end]
             x, mask = padded([words[i] for i in own])
             logp = self.log_probs(x, mask)[0]
-            out[own] = (logp * mask.T[:, :, None]).sum(0) / mask.sum(1)[:, None]
+            out[own, :-1] = (logp * mask.T[:, :, None]).sum(0)
+            at = end
         return out
 
 
@@ -150,18 +171,17 @@ def _draw_words(n: int):
     return run
 
 
-def train(labelled: DataFrame, docs_per_lang: int = 600, words_per_doc: int = 50, max_langs: int = 64, hidden: int = 16) -> tuple[list[str], ByteGRU] | None:
-    """Fit on a bounded sample of labelled(doc_id, text, lang): of the max_langs most frequent languages, about docs_per_lang
-    documents each, chosen by a hash of doc_id, and words_per_doc words of each. None if nothing is labelled."""
+def train(labelled: DataFrame, docs_per_lang: int = 600, words_per_doc: int = 50, most_docs: int = 60_000, hidden: int = 16) -> tuple[list[str], ByteGRU] | None:
+    """Fit on a bounded sample of labelled(doc_id, text, lang): of every language about docs_per_lang documents, fewer where that
+    would be more than most_docs in all, chosen by a hash of doc_id, and words_per_doc words of each. None if nothing is labelled."""
     labelled = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], max(1, min(1_000_000, 1_000_000 * docs_per_lang // r["count"]))).otherwise(share)
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
+    each = max(1, min(docs_per_lang, most_docs // len(counts)))
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(SHARES, SHARES * each // r["count"])) for r in counts], "lang string, share long")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SHARES)) < F.col("share"))
     sample = drawn.select("doc_id", "text").mapInArrow(_draw_words(words_per_doc), "doc_id long, words array<binary>")
     by_doc = {r["doc_id"]: r["lang"] for r in drawn.select("doc_id", "lang").collect()}
     words, labels = [], []
@@ -181,7 +201,7 @@ def train(labelled: DataFrame, docs_per_lang: int = 600, words_per_doc: int = 50
 def _predict(langs: list[str], net: ByteGRU, confident: int = 12, cache_words: int = 400_000):
     def run(batches):
         number: dict[bytes, int] = {}
-        scores = np.zeros((0, len(langs)), np.float32)
+        scores = np.zeros((0, len(langs) + 1), np.float32)
         for batch in batches:
             doc, text = batch.columns
             pred, score = [], []
@@ -205,7 +225,8 @@ def _predict(langs: list[str], net: ByteGRU, confident: int = 12, cache_words: i
                             score.append(0.0)
                             continue
                         at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                        y = (scores[at].sum(0, dtype=np.float64) / len(words) - net.p["prior"]) * min(len(words), confident) + net.p["prior"]
+                        own = scores[at].sum(0, dtype=np.float64)
+                        y = (own[:-1] / own[-1] - net.p["prior"]) * min(len(words), confident) + net.p["prior"]
                         y = np.exp(y - y.max())
                         k = int(y.argmax())
                         pred.append(langs[k])
