@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, cyclic
+from .route import placed
 
 #: The classes of a route's topology.
 CLASSES = ("EMPTY", "LINEAR", "NETWORK", "DISCONNECTED", "OTHER")
@@ -49,7 +50,7 @@ def ranked_components(edges: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     labels = components(nodes, pairs)
     sizes = labels.groupBy("component").agg(F.count("*").alias("places"))
-    ranks = sizes.withColumn("component_id", F.row_number().over(Window.orderBy(F.desc("places"), "component")))
+    ranks = placed(sizes, [F.desc("places"), F.col("component").asc()]).withColumnRenamed("place", "component_id")
     return labels.join(ranks, "component").select(F.col("node").alias("place"), "component_id", "places")
 
 

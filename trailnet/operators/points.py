@@ -65,7 +65,9 @@ def slope_window(points: DataFrame, half_m: float = 50.0, keys=("track",), order
     half = f"CAST({half_m} AS DOUBLE)"
     pair = "struct(along_m, ele)"
     before = F.coalesce(frame(f"max({pair})", f"UNBOUNDED PRECEDING AND {half} PRECEDING"), frame(f"min({pair})", "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"))
-    after = F.coalesce(frame(f"min({pair})", f"{half} FOLLOWING AND UNBOUNDED FOLLOWING"), frame(f"max({pair})", "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"))
+    # From the end backwards: a frame that grows is added to, one that shrinks would be read anew for each row.
+    ahead = F.expr(f"min({pair}) OVER (PARTITION BY {by} ORDER BY -along_m RANGE BETWEEN UNBOUNDED PRECEDING AND {half} PRECEDING)")
+    after = F.coalesce(ahead, frame(f"max({pair})", "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"))
     pts = pts.withColumn("_a", before).withColumn("_b", after)
     distance = F.col("_b.along_m") - F.col("_a.along_m")
     slope = F.when(distance > 1.0, (F.col("_b.ele") - F.col("_a.ele")) * 100.0 / distance).otherwise(F.lit(0.0))

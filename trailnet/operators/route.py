@@ -97,8 +97,9 @@ def cross_route_m(queries: DataFrame, edges: DataFrame) -> DataFrame:
 def next_place(stops: DataFrame, positions: DataFrame) -> DataFrame:
     """positions(query, route, at_m) with the next of stops(route, place, at_m) at or after it, and the way there; null at the route's end."""
     both = stops.select("route", "at_m", F.col("place"), F.lit(None).cast(dict(positions.dtypes)["query"]).alias("query")).unionByName(positions.select("route", "at_m", F.lit(None).cast(dict(stops.dtypes)["place"]).alias("place"), "query"))
-    w = Window.partitionBy("route").orderBy("at_m", F.col("place").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("place").isNotNull(), F.struct("place", F.col("at_m").alias("stop_m"))), ignorenulls=True).over(w)
+    # From the end backwards, so that the frame only grows.
+    w = Window.partitionBy("route").orderBy(F.desc("at_m"), F.col("place").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nxt = F.last(F.when(F.col("place").isNotNull(), F.struct("place", F.col("at_m").alias("stop_m"))), ignorenulls=True).over(w)
     out = both.withColumn("n", nxt).where("query IS NOT NULL")
     return out.select("query", "route", "at_m", F.col("n.place").alias("place"), (F.col("n.stop_m") - F.col("at_m")).alias("distance_m"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, haversine_m, segment_share
+from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from .graph import components, stored
 
 _DEGREE_M = 3.141592653589793 * EARTH_RADIUS_M / 180
@@ -94,25 +94,54 @@ def _segment_cells(segments: DataFrame, radius_m: float) -> DataFrame:
     return df.withColumn("_j", F.explode(j))
 
 
-def nearest_segment(queries: DataFrame, segments: DataFrame, radius_m: float = 1000.0, grow: float = 8.0, farthest_m: float = 2.1e7) -> DataFrame:
-    """(query, track, segment, t, distance_m): the nearest point of any track for each queries(query, lat, lon).
+def planar(lat, lon, lat1, lon1, lat2, lon2) -> tuple[Column, Column]:
+    """(t, squared metres) of a point against a segment in a plane whose scale fits the mean latitude; no great circles, for comparing many."""
+    lat, lon, lat1, lon1, lat2, lon2 = map(F.col, (lat, lon, lat1, lon1, lat2, lon2))
+    metre = F.lit(_DEGREE_M)
+    wide = F.greatest(F.lit(0.2), F.abs(F.cos(F.radians((lat + lat1 + lat2) / 3)))) * metre
+    x, y, px, py = (lon2 - lon1) * wide, (lat2 - lat1) * metre, (lon - lon1) * wide, (lat - lat1) * metre
+    square = x * x + y * y
+    t = F.when(square > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * x + py * y) / square))).otherwise(F.lit(0.0))
+    return t, (px - x * t) * (px - x * t) + (py - y * t) * (py - y * t)
 
-    segments: track, segment, lat1, lon1, lat2, lon2. Queries meet the segments of the grid cells around them; those that have none within the
-    radius go on with a larger one, so far queries cost rounds, not comparisons with all tracks. Longitudes are not wrapped. Ties by track, then segment.
+
+def _best_segment(near: DataFrame) -> DataFrame:
+    """The nearest segment of each query among the rows of near, by planar distance; then its point and great-circle distance. Ties by track, then segment."""
+    t, square = planar("lat", "lon", "lat1", "lon1", "lat2", "lon2")
+    best = near.groupBy("query").agg(F.min(F.struct(square.alias("square"), "track", "segment", t.alias("t"), "lat", "lon", "lat1", "lon1", "lat2", "lon2")).alias("m"))
+    at = lambda c: F.col(f"m.{c}1") + (F.col(f"m.{c}2") - F.col(f"m.{c}1")) * F.col("m.t")
+    return best.select("query", "m.track", "m.segment", "m.t", haversine_m("m.lat", "m.lon", at("lat"), at("lon")).alias("distance_m"), F.sqrt("m.square").alias("_planar"))
+
+
+def nearest_segment(queries: DataFrame, segments: DataFrame, radius_m: float | None = None, grow: float = 8.0, farthest_m: float = 2.1e7) -> DataFrame:
+    """(query, track, segment, t, distance_m): the nearest point of any track for each queries(query, lat, lon); nulls where there are no tracks.
+
+    segments: track, segment, lat1, lon1, lat2, lon2. Queries meet the segments of the grid cells around them, at first within radius_m (by
+    default the mean size of a segment); those that have none there go on with a larger one, so far queries cost rounds, not comparisons with all
+    tracks. Longitudes are not wrapped. Ties by track, then segment.
     """
-    left, done = stored(queries.select("query", "lat", "lon").dropDuplicates(["query"])), None
+    size = F.hypot((F.col("lat2") - F.col("lat1")) * _DEGREE_M, (F.col("lon2") - F.col("lon1")) * F.cos(F.radians("lat1")) * _DEGREE_M)
+    radius_m = radius_m or max(1.0, segments.agg(F.avg(size)).first()[0] or 1.0)
+    asked = stored(queries.select("query", "lat", "lon").dropDuplicates(["query"]))
+    left, done = asked, None
     while radius_m < farthest_m * grow:
         near = _cells(left, radius_m, False).join(_segment_cells(segments, radius_m), ["_i", "_j"])
-        t = segment_share("lat", "lon", "lat1", "lon1", "lat2", "lon2")
-        near = near.withColumn("t", t).withColumn("distance_m", haversine_m("lat", "lon", F.col("lat1") + (F.col("lat2") - F.col("lat1")) * F.col("t"), F.col("lon1") + (F.col("lon2") - F.col("lon1")) * F.col("t")))
-        best = near.where(F.col("distance_m") <= radius_m).groupBy("query").agg(F.min(F.struct("distance_m", "track", "segment", "t")).alias("m"))
-        best = stored(best.select("query", "m.track", "m.segment", "m.t", "m.distance_m"))
+        best = stored(_best_segment(near).where(F.col("_planar") <= 0.999 * radius_m).drop("_planar"))
         done = best if done is None else done.union(best)
         left = stored(left.join(best, "query", "left_anti"))
         if left.isEmpty():
             break
         radius_m *= grow
-    return done
+    return asked.select("query").join(done, "query", "left")
+
+
+def nearest_on_route(queries: DataFrame, segments: DataFrame) -> DataFrame:
+    """(query, track, segment, t, distance_m) of the nearest point of the query's own route; nulls where the route has no segments.
+
+    queries: query, route, lat, lon; segments: as for nearest_segment, with route. A query meets its route's segments only, one comparison in a plane each.
+    """
+    best = _best_segment(queries.select("query", "route", "lat", "lon").join(segments, "route")).drop("_planar")
+    return queries.select("query").join(best, "query", "left")
 
 
 def contains(a: Column, b: Column, least: int = 1) -> Column:

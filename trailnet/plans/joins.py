@@ -95,7 +95,7 @@ def bridges_bounded(spark, sf_dir):
 
 
 def stale_ids(spark, sf_dir):
-    local, remote = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    local, remote = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
     return K.stale(local, remote, ["id"])
 
 
@@ -140,7 +140,7 @@ def nearest_track(spark, sf_dir):
     w = Window.partitionBy("track").orderBy("seq")
     seg = p.select("track", F.col("seq").alias("segment"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2")).where("lat2 IS NOT NULL")
     q = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query"), (F.lit(40.0) + (F.col("c_custkey") % 10).cast("double") / F.lit(20.0)).alias("lat"), (F.lit(-3.0) + (F.col("c_custkey") % 41).cast("double") / F.lit(10000.0)).alias("lon"))
-    return S.nearest_segment(q, seg, 500.0).select("query", rounded(F.col("distance_m"), 2).alias("distance_m"))
+    return S.nearest_segment(q, seg).select("query", rounded(F.col("distance_m"), 2).alias("distance_m"))
 
 
 def attach_variants(spark, sf_dir):
@@ -199,12 +199,13 @@ ORACLE_SQL = {
     "shortest_path": f"""WITH RECURSIVE e AS (SELECT from_key AS s, to_key AS d, CAST(abs(floor(length_m)) AS DOUBLE) AS w FROM ({SPARSE_SQL}) WHERE from_key <> to_key), b AS (SELECT s, d, w FROM e UNION ALL SELECT d, s, w FROM e),
         p(n, x, h) AS (SELECT min(s), CAST(0 AS DOUBLE), 0 FROM e UNION ALL SELECT q.d, min(q.x), min(q.h) FROM (SELECT b.d, p.x + b.w AS x, p.h + 1 AS h FROM p JOIN b ON p.n = b.s WHERE p.h < 40) q GROUP BY q.d)
         SELECT (SELECT min(s) FROM e) AS source, n AS node, min(x) AS distance_m FROM p GROUP BY n""",
-    "bridges_bounded": f"""WITH RECURSIVE e AS (SELECT from_key AS s, to_key AS d, min(CAST(abs(floor(length_m)) AS DOUBLE)) AS w FROM ({SPARSE_SQL}) WHERE from_key <> to_key GROUP BY ALL),
-        q AS (SELECT DISTINCT s AS start, d * 3 % 50 AS goal FROM e WHERE s <> d * 3 % 50),
-        p(start, goal, pos, x, path, h) AS (SELECT start, goal, start, CAST(0 AS DOUBLE), [start], 0 FROM q UNION ALL SELECT p.start, p.goal, e.d, p.x + e.w, list_append(p.path, e.d), p.h + 1 FROM p JOIN e ON p.pos = e.s
-            WHERE p.h < 5 AND p.pos <> p.goal AND NOT list_contains(p.path, e.d) AND p.x + e.w <= 12000),
-        m AS (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY x, h, path) AS k FROM p WHERE pos = goal) SELECT start, goal, CAST(h AS BIGINT) AS hops, x AS length_m, array_to_string(path, '>') AS path FROM m WHERE k = 1""",
-    "stale_ids": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "bridges_bounded": f"""WITH RECURSIVE m AS (SELECT track, from_key AS s, to_key AS d, CAST(abs(floor(length_m)) AS DOUBLE) AS w, (SELECT count(*) FROM supplier) AS n FROM ({SPARSE_SQL})),
+        e AS (SELECT s, d, min(w) AS w FROM (SELECT s, d, w FROM m UNION ALL SELECT s, (s * 31 + 7) % n, w * 2 + 1000 FROM m) WHERE s <> d GROUP BY ALL),
+        q AS (SELECT DISTINCT s AS start, d * 3 % n AS goal, greatest(CAST(100000 AS DOUBLE), 3 * CAST(track % 50 * 1000 AS DOUBLE)) AS most FROM m WHERE s <> d * 3 % n),
+        p(start, goal, most, pos, x, path, h) AS (SELECT start, goal, most, start, CAST(0 AS DOUBLE), [start], 0 FROM q UNION ALL SELECT p.start, p.goal, p.most, e.d, p.x + e.w, list_append(p.path, e.d), p.h + 1 FROM p JOIN e ON p.pos = e.s
+            WHERE p.h < 8 AND p.pos <> p.goal AND NOT list_contains(p.path, e.d) AND p.x + e.w <= p.most),
+        b AS (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY x, h, path) AS k FROM p WHERE pos = goal) SELECT start, goal, CAST(h AS BIGINT) AS hops, x AS length_m, array_to_string(path, '>') AS path FROM b WHERE k = 1""",
+    "stale_ids": "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)",
     "sync_status": """WITH r AS (SELECT p_partkey AS id, p_size % 4 AS s FROM part), l AS (SELECT c_custkey AS id, c_nationkey % 4 AS s, c_acctbal >= 0 AS valid FROM customer)
         SELECT coalesce(r.id, l.id) AS id, CASE WHEN r.id IS NULL THEN 'STALE' WHEN l.id IS NULL THEN 'NEW' WHEN NOT valid THEN 'REPAIRED' WHEN r.s = l.s THEN 'UNCHANGED' ELSE 'UPDATED' END AS status FROM r FULL JOIN l ON r.id = l.id""",
     "same_name_clusters": f"""WITH RECURSIVE p AS (SELECT * FROM ({PLACES_SQL}) WHERE "primary"), e AS (SELECT x.place AS s, y.place AS d FROM p x JOIN p y ON x.name = y.name AND x.place <> y.place AND {NEAR} <= 5000),

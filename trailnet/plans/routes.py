@@ -18,7 +18,8 @@ def _ends(spark, sf_dir):
 
 
 def orientation_dp(spark, sf_dir):
-    return R.orient_spine(_ends(spark, sf_dir)).select("route", rounded(F.col("cost_m"), 2).alias("cost_m"))
+    r = R.orient_spine(_ends(spark, sf_dir))
+    return r.select("route", rounded(F.col("cost_m"), 2).alias("cost_m"), F.col("reversals").cast("long").alias("reversals"), F.size("flags").cast("long").alias("tracks"))
 
 
 def orientation_greedy(spark, sf_dir):
@@ -37,7 +38,7 @@ def next_place(spark, sf_dir):
 def normalize_names(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_name").distinct()
     raw = F.regexp_replace("p_name", " ", "_la_")
-    return p.select("p_name", N.normalize_place(F.col("p_name")).alias("key"), N.title_words(raw).alias("title"), N.is_pseudo(F.concat(F.lit("ramal "), "p_name")).alias("pseudo"))
+    return p.select("p_name", N.normalize_place(F.col("p_name")).alias("key"), N.title_words(raw).alias("title"), N.is_pseudo(F.concat(F.when(F.length("p_name") % 2 == 0, "Ramal ").otherwise("la "), "p_name")).alias("pseudo"))
 
 
 def section_sort(spark, sf_dir):
@@ -66,14 +67,22 @@ def _gap(a: str, b: str) -> str:
 
 HEX = "upper(printf('%06x', c_custkey * 7 % 16777216))"
 ORACLE_SQL = {
-    "orientation_dp": f"""WITH RECURSIVE e AS MATERIALIZED ({ENDS_SQL}), p(route, k, f, r, alat, alon, blat, blon) AS (SELECT route, k, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), alat, alon, blat, blon FROM e WHERE k = 1 UNION ALL
-        SELECT e.route, e.k, least(p.f + {_gap('b', 'a')}, p.r + {_gap('a', 'a')}), least(p.f + {_gap('b', 'b')}, p.r + {_gap('a', 'b')}), e.alat, e.alon, e.blat, e.blon FROM p JOIN e ON e.route = p.route AND e.k = p.k + 1)
-        SELECT route, {rounded_sql('arg_max(least(f, r), k)', 2)} AS cost_m FROM p GROUP BY route""",
+    # The cost forward and reversed, each with its reversals; of equal costs the one with fewer.
+    "orientation_dp": f"""WITH RECURSIVE e AS MATERIALIZED ({ENDS_SQL}), p(route, k, f, fn, r, rn, alat, alon, blat, blon) AS (SELECT route, k, CAST(0 AS DOUBLE), 0, CAST(0 AS DOUBLE), 1, alat, alon, blat, blon FROM e WHERE k = 1 UNION ALL
+        SELECT route, k, a[1], a[2], b[1], b[2], alat, alon, blat, blon FROM (SELECT e.route, e.k, least((p.f + {_gap('b', 'a')}, p.fn), (p.r + {_gap('a', 'a')}, p.rn)) AS a,
+        least((p.f + {_gap('b', 'b')}, p.fn + 1), (p.r + {_gap('a', 'b')}, p.rn + 1)) AS b, e.alat, e.alon, e.blat, e.blon FROM p JOIN e ON e.route = p.route AND e.k = p.k + 1))
+        SELECT route, {rounded_sql('m[1]', 2)} AS cost_m, CAST(m[2] AS BIGINT) AS reversals, k AS tracks FROM (SELECT route, max(k) AS k, arg_max(least((f, fn), (r, rn)), k) AS m FROM p GROUP BY route)""",
+    "orientation_greedy": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, lead(alat) OVER w AS na, lead(alon) OVER w AS no, lead(blat) OVER w AS nb, lead(blon) OVER w AS np FROM ({ENDS_SQL}) WINDOW w AS (PARTITION BY route ORDER BY k)),
+        p(route, k, flag, flags, alat, alon, blat, blon) AS (SELECT route, k, coalesce(first, false), CAST(CAST(coalesce(first, false) AS INT) AS VARCHAR), alat, alon, blat, blon FROM (SELECT *,
+          least({haversine_sql('alat', 'alon', 'na', 'no')}, {haversine_sql('alat', 'alon', 'nb', 'np')}) < least({haversine_sql('blat', 'blon', 'na', 'no')}, {haversine_sql('blat', 'blon', 'nb', 'np')}) AS first FROM e WHERE k = 1) UNION ALL
+        SELECT route, k, flag, flags || CAST(CAST(flag AS INT) AS VARCHAR), alat, alon, blat, blon FROM (SELECT e.route, e.k, p.flags, CASE WHEN p.flag THEN {_gap('a', 'b')} < {_gap('a', 'a')} ELSE {_gap('b', 'b')} < {_gap('b', 'a')} END AS flag,
+          e.alat, e.alon, e.blat, e.blon FROM p JOIN e ON e.route = p.route AND e.k = p.k + 1))
+        SELECT route, max(k) AS tracks, arg_max(flags, k) AS flags FROM p GROUP BY route""",
     "next_place": f"""SELECT query, place, {rounded_sql('d', 2)} AS distance_m FROM (SELECT q.query, s.place, s.at_m - q.at_m AS d FROM (SELECT event_id AS query, event_id % 16 AS route, CAST(event_id * 7919 % 500000 AS DOUBLE) AS at_m FROM events) q
         ASOF LEFT JOIN (SELECT o_orderkey % 16 AS route, o_totalprice AS at_m, min(o_orderkey) AS place FROM orders GROUP BY ALL) s ON q.route = s.route AND q.at_m <= s.at_m)""",
     "normalize_names": """SELECT p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key,
-        array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' la ') AS title, true AS pseudo FROM (SELECT DISTINCT p_name FROM part)""",
-    "section_sort": """SELECT c_custkey, section, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY lower(substr(c_mktsegment, 1, 1)), lower(section), lower(c_name)) AS place
+        array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' la ') AS title, length(p_name) % 2 = 0 AS pseudo FROM (SELECT DISTINCT p_name FROM part)""",
+    "section_sort": """SELECT c_custkey, section, row_number() OVER (ORDER BY c_custkey % 50, lower(substr(c_mktsegment, 1, 1)), lower(section), lower(c_name)) AS place
         FROM (SELECT *, concat(c_custkey % 50, substr(c_mktsegment, 1, 1)) AS section FROM customer)""",
     "index_links": """SELECT page_id, CAST(i AS BIGINT) AS place, hrefs[i + 1] AS href FROM (SELECT page_id, hrefs, unnest(range(len(hrefs))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]*)"', 1) AS hrefs FROM pages))""",
     "formatted": f"""SELECT c_custkey, CASE WHEN m >= 60 THEN concat(m // 60, ' h ', lpad(CAST(m % 60 AS VARCHAR), 2, '0'), ' min') ELSE concat(m, ' min') END AS duration,
