@@ -76,3 +76,18 @@ def test_benchmark_against_brute_force(spark, tmp_path):
     got = cp.benchmark(spark, frame(spark, docs), str(tmp_path)).collect()
     assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(((d, t) for d, t in docs if t not in bad), key=str)
     assert dc.MASKS[0] == "111111"
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = ", ".join(f"{c} int" for c in ("maybe", "_word", "_bits", "key", "place", "h", "line", "c0", "_gone", "sig", "score", "kept"))
+    none = spark.createDataFrame([], f"{SCHEMA}, {odd}")
+    words = ["the house which is green stands there and nobody lives in it any more since long ago", "der hund und die katze sind nicht in dem haus sondern im garten bei den alten baeumen"]
+    rows = [(i, f"{words[i % 2]} {i} {i * 7}", ("en", "de")[i % 2], "s", 1, *range(12)) for i in range(40)] + [(None, None, None, None, None, *range(12)), (3, words[1] * 4000, "de", "s", 1, *range(12))]
+    some = spark.createDataFrame(rows, none.schema)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, some, str(tmp_path))
+        assert out.columns == some.columns and 0 < out.count() <= len(rows)
+    assert cp.STAGES[-1][1](spark, some, str(tmp_path)).count() >= len(rows)

@@ -95,3 +95,13 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     out = df.select("*", word, bit).join(F.broadcast(words), "_word", "left")
     hit = F.coalesce(F.getbit("_bits", "_bit") == 1, F.lit(False))
     return out.select(*[df[c] for c in df.columns], hit.alias("maybe"))
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose key is not in ids (one column of distinct values); null is a key like others. Only rows that may be in ids are shuffled."""
+    names, kind = df.columns, dict(df.dtypes)[key]
+    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
+    own, gone = f"c{names.index(key)}", ids.select(F.col(ids.columns[0]).cast(kind).alias("_gone"))
+    split = maybe_in(inner, own, gone)
+    open_ = split.where("maybe").join(gone, F.col(own).eqNullSafe(F.col("_gone")), "left_anti")
+    return split.where("NOT maybe").unionByName(open_).select(inner.columns).toDF(*names)

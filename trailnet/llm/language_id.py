@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,12 +247,39 @@ def predict(docs: DataFrame, model: tuple[list[str], ByteGRU] | None) -> DataFra
     return docs.mapInArrow(_predict(*model), "doc_id long, lang_pred string, score double")
 
 
+def told(docs: DataFrame, model: tuple[list[str], ByteGRU] | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs(text), with all their columns, whose language the model tells with a probability of least or more; none without a model.
+
+    The verdict is made where the row is read, and the row goes on from there."""
+    if model is None:
+        return docs.limit(0)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def texts():
+            for batch in batches:
+                held.append(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(place), batch.column(place)], ["doc_id", "text"])
+
+        for out in _predict(*model)(texts()):
+            _, pred, score = out.columns
+            yield held.pop(0).filter(pc.and_(pc.not_equal(pred, "und"), pc.greater_equal(score, least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
+def learned(docs: DataFrame, **bounds) -> tuple[list[str], ByteGRU] | None:
+    """The model of docs(doc_id, text, lang), from what is not held out."""
+    return train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out()), **bounds)
+
+
 def identify(docs: DataFrame, **bounds) -> DataFrame:
     """Train on the documents with a language that are not held out, and predict all. A null doc_id is never held out."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out())
-    out = predict(docs, train(labelled, **bounds))
+    out = predict(docs, learned(docs, **bounds))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
