@@ -6,21 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailnet.llm import decontamination, language_id, line_dedup, minhash_dedup, packing
-from trailnet.llm.common import materialize, table
+from trailnet.llm.common import materialize, table, without
 
 #: SQL cannot express the stages; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in judged(doc_id); rows with one doc_id, or with none, stay or go together."""
-    ids = judged.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or of no language that the network tells with a probability of a half go. lang stays as it is."""
-    return _kept(docs, language_id.identify(docs).where("lang_pred <> 'und' AND score >= 0.5"))
+    return language_id.told(docs, language_id.learned(docs), 0.5)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +23,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays."""
-    return _kept(docs, minhash_dedup.near_duplicates(docs, shingle_words=5, percent=80).where("kept"))
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays; rows with one doc_id, or with none, stay or go together."""
+    judged = minhash_dedup.near_duplicates(docs, shingle_words=5, percent=80)
+    gone = materialize(judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select("doc_id"))
+    return without(docs, "doc_id", gone)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold much of a benchmark item go."""
-    found = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("_key")).distinct()
-    return docs.join(found, F.xxhash64("text") == F.col("_key"), "left_anti").select(docs.columns)
+    found = materialize(decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")).select("key").distinct())
+    key = "_key" + "_" * max(map(len, docs.columns))  # no column of docs
+    return without(docs.withColumn(key, F.xxhash64("text")), key, found).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
