@@ -26,22 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, compression: str = "snappy", arrow_rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    arrow_rows: rows of a batch that goes to Python meanwhile, where rows are wide; the session's setting is put back.
+    The table stands for the shuffles that led to it, so their files go at once. arrow_rows: rows of a batch that goes to Python meanwhile,
+    where rows are wide. The session's settings are put back.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trailnet-{uuid.uuid4().hex}"
-    before = spark.conf.get(ARROW_ROWS)
+    before = {k: spark.conf.get(k) for k in (ARROW_ROWS, CLEANUP)}
     try:
-        spark.conf.set(ARROW_ROWS, str(arrow_rows or before))
+        spark.conf.set(ARROW_ROWS, str(arrow_rows or before[ARROW_ROWS]))
+        spark.conf.set(CLEANUP, "true")
         # A frame keeps the plan it has once been given: this one is planned under the setting.
         df.select("*").write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(ARROW_ROWS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
