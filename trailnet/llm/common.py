@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,29 @@ def materialize(df: DataFrame, compression: str = "snappy", arrow_rows: int | No
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+    written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OWN = threading.local()
+
+
+def written() -> list[str]:
+    """The tables that this thread has materialized and not discarded, in order."""
+    if not hasattr(_OWN, "paths"):
+        _OWN.paths = []
+    return _OWN.paths
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Remove the tables materialized since written() had that length, but for the last: what the last was made from is not read again."""
+    paths = written()
+    for path in paths[since:-1]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del paths[since:-1]
+
+
 def blocks_for(total: int | None, per_block: int, least: int = 1) -> int:
     """How many blocks of about per_block hold total."""
     return max(least, -(-int(total or 0) // per_block))
