@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailnet.llm import decontamination, language_id, line_dedup, minhash_dedup, packing
-from trailnet.llm.common import materialize, table, without
+from trailnet.llm.common import discard, materialize, table, without, written
 
 #: SQL cannot express the stages; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
@@ -24,14 +24,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays; rows with one doc_id, or with none, stay or go together."""
+    since = len(written())
     judged = minhash_dedup.near_duplicates(docs, shingle_words=5, percent=80)
     gone = materialize(judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select("doc_id"))
+    discard(spark, since)
     return without(docs, "doc_id", gone)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold much of a benchmark item go."""
+    since = len(written())
     found = materialize(decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")).select("key").distinct())
+    discard(spark, since)
     key = "_key" + "_" * max(map(len, docs.columns))  # no column of docs
     return without(docs.withColumn(key, F.xxhash64("text")), key, found).select(docs.columns)
 
@@ -45,7 +49,8 @@ STAGES = [("language_id", language), ("line_dedup", lines), ("minhash_near_dedup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), len(written())
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        discard(spark, since)
     return docs
