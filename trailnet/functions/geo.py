@@ -146,3 +146,28 @@ def elevation_at(before: ColumnLike, after: ColumnLike, t: ColumnLike) -> Column
     """Linear between two elevations; the other one where one is missing."""
     a, b = _c(before), _c(after)
     return F.coalesce(a + (b - a) * _c(t), a, b)
+
+
+def _curve(lat1, lon1, lat2, lon2, start, end, m0, whole, m1) -> tuple[Column, Column, Column]:
+    """north, east (both in degrees of latitude) and the scale of longitudes of a cubic between two positions, with the given weights."""
+    lat1, lon1, lat2, lon2, start, end = (_c(x) for x in (lat1, lon1, lat2, lon2, start, end))
+    scale = F.greatest(F.lit(0.2), F.cos(F.radians((lat1 + lat2) / 2)))
+    up, across = lat2 - lat1, (lon2 - lon1) * scale
+    size = F.hypot(up, across) * 0.55
+    start, end = F.radians(start), F.radians(end)
+    north = m0 * F.cos(start) * size + whole * up + m1 * F.cos(end) * size
+    return north, m0 * F.sin(start) * size + whole * across + m1 * F.sin(end) * size, scale
+
+
+def hermite(lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: ColumnLike, start: ColumnLike, end: ColumnLike, t: ColumnLike) -> Column:
+    """struct(lat, lon) at the share t of the way on a curve that leaves by the bearing start and arrives by the bearing end."""
+    t = _c(t)
+    north, east, scale = _curve(lat1, lon1, lat2, lon2, start, end, t * t * t - 2 * t * t + t, 3 * t * t - 2 * t * t * t, t * t * t - t * t)
+    return F.struct((_c(lat1) + north).alias("lat"), (_c(lon1) + east / scale).alias("lon"))
+
+
+def hermite_bearing(lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: ColumnLike, start: ColumnLike, end: ColumnLike, t: ColumnLike) -> Column:
+    """The bearing of that curve at t; the direct one where it stands still."""
+    t = _c(t)
+    north, east, _ = _curve(lat1, lon1, lat2, lon2, start, end, 3 * t * t - 4 * t + 1, 6 * t - 6 * t * t, 3 * t * t - 2 * t)
+    return F.when(F.hypot(north, east) < 1e-12, initial_bearing(lat1, lon1, lat2, lon2)).otherwise(normalize_degrees(F.degrees(F.atan2(east, north))))

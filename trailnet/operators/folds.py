@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 #: Mean radius of the earth; motion thresholds on the root mean square, confirmation time.
 EARTH_RADIUS_M = 6371008.8
@@ -129,23 +131,41 @@ def selection(state, row):
     return (start, end), {"start": start, "end": end}
 
 
+def smooth_bearing(tau_ms: float = 2200.0, deadband_deg: float = 1.25, longest_ms: int = 100):
+    """bearing: follows target by the share 1 - exp(-dt / tau_ms) of the shorter turn, dt at most longest_ms; turns within the deadband are passed over."""
+
+    def step(state, row):
+        ms, target = int(row["ms"]), row["target"] % 360.0
+        if state is None:
+            return (ms, target), {"bearing": target}
+        then, now = state
+        turn = (target - now + 540.0) % 360.0 - 180.0
+        if abs(turn) > deadband_deg:
+            now = (now + turn * -math.expm1(-max(0, min(longest_ms, ms - then)) / tau_ms)) % 360.0
+        return (ms, now), {"bearing": now}
+
+    return step
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], step, outputs: str) -> DataFrame:
-    """df with the columns of outputs (a schema string), from step over each key's rows in order."""
-    names = df.columns
-    extra = [x.split()[0] for x in outputs.split(",")]
+    """df with the columns of outputs (a schema string), from step over each key's rows in order. Nulls are None to step; a null key is one key like others."""
+    added = DataType.fromDDL(outputs)
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in added.fields]
+    plain = lambda v: "nan" if v != v else v  # noqa: E731  NaN is one key too
 
     def run(batches):
         at = state = None
-        for pdf in batches:
-            got = {c: [] for c in extra}
-            for row in pdf.to_dict("records"):
-                key = tuple(row[k] for k in keys)
+        for batch in batches:
+            got = {c: [] for c, _ in kinds}
+            for row in batch.to_pylist():
+                key = tuple(plain(row[k]) for k in keys)
                 if key != at:
                     at, state = key, None
                 state, out = step(state, row)
-                for c in extra:
+                for c in got:
                     got[c].append(out[c])
-            yield pdf.assign(**{c: pd.Series(v, index=pdf.index, dtype=object) for c, v in got.items()})
+            new = [pa.array(got[c], kind) for c, kind in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *got])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*names).mapInPandas(run, f"{schema}, {outputs}")
+    schema = StructType([*df.schema.fields, *added.fields])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -85,8 +85,6 @@ def read_routes(spark: SparkSession, path: str) -> DataFrame:
 def polygons(files: DataFrame) -> DataFrame:
     """(path, ring, seq, lon, lat) of polygon files: sections up to END, holes (a name with !) left out, rings of fewer than three points dropped, rings closed."""
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     point = F.col("line").rlike(r"^[-+0-9.eE]+\s+[-+0-9.eE]+$")
     lines = lines.withColumn("is_point", point).withColumn("ring", F.sum(F.when(~point & (F.col("line") != "END") & (F.col("line") != ""), 1).otherwise(0)).over(w))
@@ -111,3 +109,61 @@ def checksums(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 def choose_existing(candidates: DataFrame, key: str = "route_id") -> DataFrame:
     """Of candidates(key, path, priority, valid) the first valid path of each key."""
     return candidates.where("valid").groupBy(key).agg(F.min_by("path", F.struct("priority", "path")).alias("path"))
+
+
+MANIFEST_SCHEMA = (
+    "schema_version int, tracks map<string,struct<page_filename:string,download_url:string,download_id:string,route_code:string,route_id:string,local_path:string,"
+    "bytes:bigint,coordinates:bigint,elevations:bigint,sha256:string>>"
+)
+
+
+def manifest_tracks(docs: DataFrame) -> DataFrame:
+    """One row per entry of manifests (MANIFEST_SCHEMA, and path), with its route_id.
+
+    In schema 2 that is the entry's key; older ones are keyed anew by the name of the page's file, else of the local one. Two entries of one manifest with one id are an error.
+    """
+    e = docs.select("path", "schema_version", F.explode("tracks").alias("key", "e"))
+    name = F.coalesce(N.empty_to_null(F.col("e.page_filename")), F.col("e.local_path"), F.lit(""))
+    ident = F.when(F.col("schema_version") == 2, F.col("key")).otherwise(N.required_route_id(F.element_at(F.split(name, "/"), -1)))
+    e = e.withColumn("route_id", ident)
+    many = F.count("*").over(Window.partitionBy("path", "route_id")) > 1
+    checked = F.when(many, F.raise_error(F.concat(F.lit("Duplicate route id in a manifest: "), "route_id"))).otherwise(F.col("route_id"))
+    rest = [f"e.{c}" for c in ("page_filename", "download_url", "download_id", "route_code", "local_path", "bytes", "coordinates", "elevations", "sha256")]
+    return e.select("path", checked.cast("string").alias("route_id"), *rest)
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    docs = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
+    return manifest_tracks(docs.select(F.col("_metadata.file_path").alias("path"), "schema_version", "tracks"))
+
+
+GROUP_SCHEMA = (
+    "route_group_id string, name string, official_name string, tracks array<struct<section_id:string,variant_suffix:string,from_key:string,to_key:string,"
+    "pseudo_from:boolean,pseudo_to:boolean,coordinates:array<array<double>>>>"
+)
+
+
+def read_groups(spark: SparkSession, root: str, countries=("ES", "PT")) -> DataFrame:
+    """(stem, and GROUP_SCHEMA) of the group documents below root whose file names begin with one of countries."""
+    docs = spark.read.schema(GROUP_SCHEMA).json(root, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    docs = docs.withColumn("stem", stem(F.col("_metadata.file_path")))
+    return docs.where(F.substring("stem", 1, 2).isin(*countries))
+
+
+def canonical_tracks(groups: DataFrame) -> DataFrame:
+    """The primary tracks (variant suffix a) of groups(stem, GROUP_SCHEMA) with two points or more, as route, name, section, ends and points (lat, lon, ele).
+
+    Coordinates of fewer than two numbers are skipped; a position off the globe is an error.
+    """
+    t = groups.select(F.coalesce(N.empty_to_null(F.col("route_group_id")), "stem").alias("route"), "name", "official_name", F.explode("tracks").alias("t"))
+    section = F.coalesce("t.section_id", F.lit(""))
+    t = t.where(F.coalesce(N.empty_to_null(F.col("t.variant_suffix")), F.substring(section, -1, 1)) == "a")
+    given = F.filter(F.coalesce("t.coordinates", F.array().cast("array<array<double>>")), lambda c: F.size(c) >= 2)
+    at = lambda c, k: F.get(c, F.lit(k))
+    on_globe = lambda c: F.coalesce(at(c, 0).between(-90, 90) & at(c, 1).between(-180, 180), F.lit(False))
+    bad = F.raise_error(F.concat_ws("/", F.lit("Invalid coordinate in"), "route", section)).cast("double")
+    points = F.transform(given, lambda c: F.struct(F.when(on_globe(c), at(c, 0)).otherwise(bad).alias("lat"), at(c, 1).alias("lon"), F.nanvl(at(c, 2), F.lit(None).cast("double")).alias("ele")))
+    end = lambda side: F.coalesce(f"t.{side}_key", F.lit("")).alias(f"{side}_key")
+    pseudo = lambda side: F.coalesce(f"t.pseudo_{side}", F.lit(False)).alias(f"pseudo_{side}")
+    named = F.coalesce(N.empty_to_null(F.col("name")), N.empty_to_null(F.col("official_name")), "route")
+    return t.select("route", named.alias("name"), section.alias("section"), end("from"), end("to"), pseudo("from"), pseudo("to"), points.alias("points")).where(F.size("points") >= 2)
