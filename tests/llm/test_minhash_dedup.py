@@ -45,6 +45,15 @@ def test_matches_brute_force(spark):
     assert sorted(map(tuple, md.near_duplicates(df, block=8, per_salt=4).collect())) == brute(rows)
 
 
+def test_rows_of_one_id_keep_their_own_links(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(26 + 4 * i)) for i, x in enumerate("abc"))
+    rows = [(5, a), (5, b), (7, a + " zz"), (8, b + " zz"), (2, c), (9, b + " zz"), (5, c), (5, a), (3, b.replace(" ", "  "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, md.near_duplicates(df).collect())) == brute(rows)
+    assert {x[2] for x in brute(rows)} == {2, 3, 5}
+
+
 def test_empty_table_and_null_ids(spark):
     assert md.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = md.near_duplicates(spark.createDataFrame([(None, "a b c"), (4, "A b c"), (None, "x")], "doc_id long, text string")).collect()

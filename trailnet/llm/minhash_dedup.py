@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, maybe_in
@@ -91,14 +91,14 @@ def _sign(n: int):
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                doc, text = batch.columns
+                doc, tkey, text = batch.columns
                 counts, keys, sigs = [], [], []
                 for t in text:
                     h = shingle_hashes(t.as_py(), n)
                     counts.append(len(h))
                     keys.append(hashlib.md5(h.tobytes()).digest() if len(h) else None)
                     sigs.append(signature(h).tobytes() if len(h) else None)
-                yield pa.RecordBatch.from_arrays([doc, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([doc, tkey, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "tkey", "n_shingles", "set_key", "sig"])
 
     return run
 
@@ -262,31 +262,43 @@ def _verify(n: int, percent: int):
     return run
 
 
+def _representatives(signed: DataFrame) -> DataFrame:
+    """(set_key, doc_id, tkey, node) for each set: its least row, and an id of its own.
+
+    That is the doc_id; of sets whose least rows share one, all but the first have a negative hash of the set in its place.
+    """
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tkey"))
+    reps = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(row).alias("row")).select("set_key", "row.doc_id", "row.tkey")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("set_key")) == 1
+    node = F.when(first, F.col("doc_id")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("set_key"), 1))
+    return reps.where("doc_id IS NOT NULL").withColumn("node", node).unionByName(reps.where("doc_id IS NULL").withColumn("node", F.col("doc_id")))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, percent: int = 85, miss: float = 1e-6, block: int = 1000, per_salt: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     Words: runs of other than ASCII white space, A-Z lower-cased. Documents are linked if the Jaccard similarity of their
     shingle sets is percent / 100 or more; component_id is the smallest doc_id reachable. Null and empty texts have no
-    shingles and are linked with nothing. Rows that share a doc_id are one node where they share the text; a null doc_id
+    shingles and are linked with nothing. Rows that share a doc_id are told apart by their texts, each with its own links; a null doc_id
     joins only an equal set and is kept if it is alone. A pair at the threshold escapes all 24 bands with
     probability under 1e-6; other columns of docs are ignored.
     """
     least = least_matches(percent, miss)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_sign(shingle_words), "doc_id long, n_shingles long, set_key binary, sig binary"))
-    reps = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
+    signed = materialize(docs.mapInArrow(_sign(shingle_words), "doc_id long, tkey long, n_shingles long, set_key binary, sig binary"))
+    reps = materialize(_representatives(signed))
     nodes = materialize(
-        signed.where("doc_id IS NOT NULL").join(reps.where("node IS NOT NULL").withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "sig")
+        signed.where("doc_id IS NOT NULL").join(reps.where("node IS NOT NULL"), ["set_key", "doc_id", "tkey"])
+        .dropDuplicates(["node"]).select("node", "doc_id", "tkey", "sig")
     )
     bands = F.transform(F.sequence(F.lit(0), F.lit(SIZE // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * ROWS * 4 + 1, F.lit(ROWS * 4))))
     rows = nodes.select("node", F.explode(bands).alias("bkey"))
     shared = rows.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     members = materialize(rows.join(shared, "bkey"))
-    joined = members.select("node").distinct()
+    joined = nodes.select("node", "doc_id", "tkey").join(members.select("node").distinct(), "node", "left_semi")
     texts = materialize(
-        maybe_in(docs, "doc_id", joined).where("maybe").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("b"), "text")
+        maybe_in(docs, "doc_id", joined.select("doc_id")).where("maybe").join(joined, ["doc_id", "tkey"])
+        .dropDuplicates(["node"]).select(F.col("node").alias("b"), "text")
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -310,13 +322,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, percent: int = 85,
     sets = materialize(texts.withColumnRenamed("b", "node").join(wanted, "node", "left_semi").mapInArrow(_short_sets(shingle_words), "node long, hashes binary"))
     parts = F.ceil(F.col("size") / block)
     placed = inside.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(nodes, "node").join(sets, "node")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(nodes.select("node", "sig"), "node").join(sets, "node")
     placed = placed.select("bkey", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "sig", "hashes")
     there = placed.repartition("bkey", "low", "high").sortWithinPartitions("bkey", "low", "high")
     new = confirmed(materialize(there.mapInArrow(_compare_components(least, percent), "a long, b long").distinct()))
     if not new.isEmpty():
         labels = connected_components(links.union(new).distinct())
-    components = reps.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    components = reps.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", "doc_id", "node", F.coalesce("component", "node").alias("component_id"))
+    others = components.where("node <> doc_id")
+    if not reps.where("node <> doc_id").isEmpty():  # their groups' labels may be no doc_id
+        own = components.join(others.select("component_id").distinct(), "component_id", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        components = components.join(own, "component_id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+    components = components.select("set_key", "component_id")
     return signed.join(components, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
