@@ -130,3 +130,30 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     split = maybe_in(inner, own, gone)
     open_ = split.where("maybe").join(gone, F.col(own).eqNullSafe(F.col("_gone")), "left_anti")
     return split.where("NOT maybe").unionByName(open_).select(inner.columns).toDF(*names)
+
+
+#: A key with one row in so many is hot: at most so many keys are.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """rows with the columns of found, null where found (distinct keys, none null) lacks the row's key; copies and total say how many rows have a key and all do.
+
+    Keys with a row in HOT_SHARE are looked up by a broadcast, of HOT_SHARE rows at most by their definition; all others go by a shuffle, in
+    which no key has more rows than that share. Rows that are done, and null keys, are spread over all its tasks.
+    """
+    more = [c for c in found.columns if c not in (key, copies)]
+    hot = F.col(copies) * HOT_SHARE >= F.lit(total)
+    kept = F.struct(*more)
+    few = found.where(hot).select(F.col(key).alias("_hot_key"), kept.alias("_hot"))
+    rest = found.where(~hot).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_salt"), kept.alias("_cold"))
+    out = rows.join(F.broadcast(few), F.col(key) == F.col("_hot_key"), "left")
+    done = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_salt", F.when(done, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))).withColumn("_key", F.when(~done, F.col(key)))
+    out = out.join(rest, (F.col("_key") == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    return out.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in more])
+
+
+def in_ranges(df: DataFrame, order: list, parts: int) -> DataFrame:
+    """df dealt into parts ranges of order and written, with _part: every row of a part comes before those of the next."""
+    return materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, language_id, line_dedup, minhash_dedup, packing, quality_rules, sharding, substring_dedup, toxicity
+from . import chat_format, decontamination, language_id, line_dedup, minhash_dedup, packing, quality_rules, resampling, sharding, substring_dedup, toxicity
 from .common import table
 
 
@@ -51,5 +51,13 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_language_id, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_minhash_dedup, op8_sharding, op9_best_fit_packing, op10_toxicity)}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE}
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_line_dedup, op2_decontamination, op3_language_id, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_minhash_dedup, op8_sharding, op9_best_fit_packing, op10_toxicity,
+    op11_importance_resampling,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op11_importance_resampling": resampling.ORACLE}
