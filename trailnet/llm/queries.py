@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, language_id, line_dedup, minhash_dedup, packing, quality_rules, resampling, sharding, substring_dedup, toxicity
+from . import chat_format, decontamination, language_id, line_dedup, merkle, minhash_dedup, packing, quality_rules, resampling, sharding, substring_dedup, toxicity, url_templates
 from .common import table
 
 
@@ -55,9 +55,19 @@ def op11_importance_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_url_filters(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 _ALL = (
     op1_line_dedup, op2_decontamination, op3_language_id, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_minhash_dedup, op8_sharding, op9_best_fit_packing, op10_toxicity,
-    op11_importance_resampling,
+    op11_importance_resampling, op12_url_filters, op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op11_importance_resampling": resampling.ORACLE}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op11_importance_resampling": resampling.ORACLE, "op12_url_filters": url_templates.ORACLE, "op13_merkle_manifest": merkle.ORACLE,
+}
