@@ -38,7 +38,7 @@ def test_names_and_colours(spark):
 def test_nearest_segment(spark):
     seg = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0, 0.01)], "track int, segment int, lat1 double, lon1 double, lat2 double, lon2 double")
     q = spark.createDataFrame([(1, 0.001, 0.005), (2, 40.0, 50.0)], "query int, lat double, lon double")
-    got = {r["query"]: r for r in spatial.nearest_segment(q, seg, grow=100.0).collect()}
+    got = {r["query"]: r for r in spatial.nearest_segment(q, seg).collect()}
     assert abs(got[1].distance_m - math.pi * 6371008.8 / 180000) < 0.05 and abs(got[1].t - 0.5) < 1e-6 and got[2].track == 0
 
 

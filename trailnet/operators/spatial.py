@@ -5,43 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, haversine_m
+from ..functions.geo import haversine_m
+from .cells import DEGREE_M, around, cell, row_cells
+from .cells import near as near_rows
 from .graph import components, stored
 
-_DEGREE_M = 3.141592653589793 * EARTH_RADIUS_M / 180
-
-
-def _cells(df: DataFrame, radius_m: float, spread: bool) -> DataFrame:
-    """df with the grid cell (_i, _j) of lat, lon; if spread, a row for each of the cells around that a point within radius_m may be in.
-
-    Rows of cells are radius_m high. In each, columns are radius_m wide at the row's edge that is farthest from the equator, where a degree is least.
-    """
-    size = radius_m / _DEGREE_M
-    own = F.floor(F.col("lat") / size)
-    if spread:
-        df = df.withColumn("_i", F.explode(F.array(own - 1, own, own + 1)))
-    else:
-        df = df.withColumn("_i", own)
-    edge = F.greatest(F.abs(F.col("_i") * size), F.abs((F.col("_i") + 1) * size))
-    wide = F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.9)))), F.lit(1e-3))
-    column = F.floor(F.col("lon") * wide / size)
-    if spread:
-        return df.withColumn("_j", F.explode(F.array(column - 1, column, column + 1)))
-    return df.withColumn("_j", column)
-
 
 def near_pairs(df: DataFrame, key: str, radius_m: float, same: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """(a, b, distance_m) of every two rows of df(key, lat, lon) with a < b, equal in the columns same, within radius_m.
 
     Columns in keep come along as a_ and b_. An equi-join on grid cells; the exact distance decides.
     """
-    cols = [key, "lat", "lon", *same, *keep]
-    left = _cells(df.select(*cols), radius_m, False)
-    right = _cells(df.select(*cols), radius_m, True)
-    right = right.select(F.col(key).alias("_b"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *same, *[F.col(c).alias(f"b_{c}") for c in keep], "_i", "_j")
-    pairs = left.withColumnsRenamed({key: "_a", **{c: f"a_{c}" for c in keep}}).join(right, ["_i", "_j", *same]).where("_a < _b")
-    pairs = pairs.withColumn("distance_m", haversine_m("lat", "lon", "_lat", "_lon")).where(F.col("distance_m") <= radius_m)
-    return pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b"), *same, *[f"a_{c}" for c in keep], *[f"b_{c}" for c in keep], "distance_m").dropDuplicates(["a", "b"])
+    left = df.select(F.col(key).alias("a"), "lat", "lon", *same, *[F.col(c).alias(f"a_{c}") for c in keep])
+    right = df.select(F.col(key).alias("b"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), *same, *[F.col(c).alias(f"b_{c}") for c in keep])
+    pairs = near_rows(left, right, radius_m, list(same)).where("a < b")
+    return pairs.select("a", "b", *same, *[f"a_{c}" for c in keep], *[f"b_{c}" for c in keep], "distance_m").dropDuplicates(["a", "b"])
 
 
 def single_link_clusters(df: DataFrame, key: str, radius_m: float, same: list[str] = ()) -> DataFrame:
@@ -76,28 +54,37 @@ def diameters(members: DataFrame, keys: list[str], key: str) -> DataFrame:
 
 def nearest(queries: DataFrame, query: str, places: DataFrame, place: str, radius_m: float) -> DataFrame:
     """(query, place, distance_m) of the nearest place within radius_m of each query, ties by place; queries without one have nulls."""
-    left = _cells(queries.select(F.col(query).alias("_q"), "lat", "lon"), radius_m, False)
-    right = _cells(places.select(F.col(place).alias("_p"), "lat", "lon"), radius_m, True).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-    pairs = left.join(right, ["_i", "_j"]).withColumn("distance_m", haversine_m("lat", "lon", "_lat", "_lon")).where(F.col("distance_m") <= radius_m)
+    left = queries.select(F.col(query).alias("_q"), "lat", "lon")
+    pairs = near_rows(left, places.select(F.col(place).alias("_p"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon")), radius_m)
     best = pairs.groupBy("_q").agg(F.min(F.struct("distance_m", "_p")).alias("m"))
     return queries.select(F.col(query).alias("_q")).distinct().join(best, "_q", "left").select(F.col("_q").alias("query"), F.col("m._p").alias("place"), F.col("m.distance_m").alias("distance_m"))
 
 
-def _segment_cells(segments: DataFrame, radius_m: float) -> DataFrame:
-    """segments with a row for each cell that a point within radius_m of its box may be in."""
-    size = radius_m / _DEGREE_M
-    i = F.sequence(F.floor(F.least("lat1", "lat2") / size) - 1, F.floor(F.greatest("lat1", "lat2") / size) + 1)
-    df = segments.withColumn("_i", F.explode(i))
-    edge = F.greatest(F.abs(F.col("_i") * size), F.abs((F.col("_i") + 1) * size))
-    wide = F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.9)))), F.lit(1e-3))
-    j = F.sequence(F.floor(F.least("lon1", "lon2") * wide / size) - 1, F.floor(F.greatest("lon1", "lon2") * wide / size) + 1)
-    return df.withColumn("_j", F.explode(j))
+#: Sizes of cells: each level's are LEVEL_STEP times as wide as those of the one before; the last holds the globe.
+LEVEL_M, LEVEL_STEP, LEVELS = 50.0, 8.0, 8
+
+
+def _level_m(level: int) -> float:
+    return LEVEL_M * LEVEL_STEP**level
+
+
+def _level_of(size_m: Column) -> Column:
+    """The least level whose cells are as wide as size_m."""
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log(F.greatest(size_m, F.lit(1e-3)) / LEVEL_M) / F.log(F.lit(LEVEL_STEP))))).cast("int")
+
+
+def _by_level(level: Column, of) -> Column:
+    """of(size of a cell) for each row's level."""
+    out = of(_level_m(LEVELS - 1))
+    for k in range(LEVELS - 1):
+        out = F.when(level == k, of(_level_m(k))).otherwise(out)
+    return out
 
 
 def planar(lat, lon, lat1, lon1, lat2, lon2) -> tuple[Column, Column]:
     """(t, squared metres) of a point against a segment in a plane whose scale fits the mean latitude; no great circles, for comparing many."""
     lat, lon, lat1, lon1, lat2, lon2 = map(F.col, (lat, lon, lat1, lon1, lat2, lon2))
-    metre = F.lit(_DEGREE_M)
+    metre = F.lit(DEGREE_M)
     wide = F.greatest(F.lit(0.2), F.abs(F.cos(F.radians((lat + lat1 + lat2) / 3)))) * metre
     x, y, px, py = (lon2 - lon1) * wide, (lat2 - lat1) * metre, (lon - lon1) * wide, (lat - lat1) * metre
     square = x * x + y * y
@@ -113,35 +100,75 @@ def _best_segment(near: DataFrame) -> DataFrame:
     return best.select("query", "m.track", "m.segment", "m.t", haversine_m("m.lat", "m.lon", at("lat"), at("lon")).alias("distance_m"), F.sqrt("m.square").alias("_planar"))
 
 
-def nearest_segment(queries: DataFrame, segments: DataFrame, radius_m: float | None = None, grow: float = 8.0, farthest_m: float = 2.1e7) -> DataFrame:
+def _bounds(asked: DataFrame, segments: DataFrame, same: list[str]) -> DataFrame:
+    """asked with bound_m: how far it is to the nearest of one segment end for each cell around a query, of every level; null where there are none."""
+    ends = segments.select(*same, F.explode(F.array(F.struct(F.col("lat1").alias("lat"), F.col("lon1").alias("lon")), F.struct(F.col("lat2").alias("lat"), F.col("lon2").alias("lon")))).alias("e")).select(*same, "e.*")
+
+    def at(level: int):
+        return lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell"))
+
+    own = [at(k)(cell(F.col("lat"), F.col("lon"), _level_m(k))) for k in range(LEVELS)]
+    cells_of = [F.transform(around(F.col("lat"), F.col("lon"), _level_m(k)), at(k)) for k in range(LEVELS)]
+    # Ends are many, those of the smallest cells fewer: the wider levels choose among the latter.
+    finest = stored(ends.groupBy(cell(F.col("lat"), F.col("lon"), _level_m(0)).alias("_c"), *same).agg(F.min(F.struct("lat", "lon")).alias("_end"))).select(*same, "_end.*")
+    seen = finest.withColumn("_at", F.explode(F.array(*own))).groupBy("_at", *same).agg(F.min(F.struct("lat", "lon")).alias("_end"))
+    near = asked.withColumn("_at", F.explode(F.concat(*cells_of))).join(seen, ["_at", *same])
+    near = near.groupBy("_spot").agg(F.min(haversine_m("lat", "lon", "_end.lat", "_end.lon")).alias("bound_m"))
+    return asked.join(near, "_spot", "left")
+
+
+def _covered(size_m: float) -> Column:
+    """The cells that the box of a segment covers."""
+    low, high = (F.struct(f("lat1", "lat2").alias("lat"), f("lon1", "lon2").alias("lon")) for f in (F.least, F.greatest))
+    rows = F.sequence(cell(low["lat"], low["lon"], size_m)["i"], cell(high["lat"], high["lon"], size_m)["i"])
+    return F.flatten(F.transform(rows, lambda i: row_cells(i, low["lon"], high["lon"], size_m)))
+
+
+def nearest_segment(queries: DataFrame, segments: DataFrame, same: list[str] = (), report: dict | None = None) -> DataFrame:
     """(query, track, segment, t, distance_m): the nearest point of any track for each queries(query, lat, lon); nulls where there are no tracks.
 
-    segments: track, segment, lat1, lon1, lat2, lon2. Queries meet the segments of the grid cells around them, at first within radius_m (by
-    default the mean size of a segment); those that have none there go on with a larger one, so far queries cost rounds, not comparisons with all
-    tracks. Longitudes are not wrapped. Ties by track, then segment.
+    segments: track, segment, lat1, lon1, lat2, lon2; both sides have the columns same, in which they are equal. Queries at one spot are asked once. In a
+    first pass each spot meets one segment end for each cell around it, of every level, which bounds how far its nearest segment is. In the second it meets the
+    segments whose boxes lie in cells around it: those as large as the bound or larger in cells of their own level, all smaller ones in cells of
+    the bound's; of these only the ones whose box is within the bound are compared. A segment that crosses 180 degrees counts as going the other way round. Ties by track, then segment.
+    report takes the number of comparisons.
     """
-    size = F.hypot((F.col("lat2") - F.col("lat1")) * _DEGREE_M, (F.col("lon2") - F.col("lon1")) * F.cos(F.radians("lat1")) * _DEGREE_M)
-    radius_m = radius_m or max(1.0, segments.agg(F.avg(size)).first()[0] or 1.0)
-    asked = stored(queries.select("query", "lat", "lon").dropDuplicates(["query"]))
-    left, done = asked, None
-    while radius_m < farthest_m * grow:
-        near = _cells(left, radius_m, False).join(_segment_cells(segments, radius_m), ["_i", "_j"])
-        best = stored(_best_segment(near).where(F.col("_planar") <= 0.999 * radius_m).drop("_planar"))
-        done = best if done is None else done.union(best)
-        left = stored(left.join(best, "query", "left_anti"))
-        if left.isEmpty():
-            break
-        radius_m *= grow
-    return asked.select("query").join(done, "query", "left")
+    same = list(same)
+    asked = queries.select("query", *same, "lat", "lon").dropDuplicates(["query"]).withColumn("_spot", F.struct(*same, "lat", "lon"))
+    asked, segments = stored(asked), stored(segments.select("track", "segment", *same, "lat1", "lon1", "lat2", "lon2"))
+    spots = asked.select("_spot", *same, "lat", "lon").dropDuplicates(["_spot"])
+    spots = stored(_bounds(spots, segments, same).where("bound_m IS NOT NULL").withColumn("_class", _level_of(F.col("bound_m") * 1.01 + 0.01)))
+    classes = [r[0] for r in spots.select("_class").distinct().collect()]  # LEVELS at most
+    up, across = (F.abs(F.col(f"{c}2") - F.col(f"{c}1")) * DEGREE_M for c in ("lat", "lon"))
+    kept = segments.withColumn("_own", _level_of(F.greatest(up, across)))
+    own = kept.withColumn("_level", F.col("_own")).withColumn("_kind", F.lit(0))
+    below = kept.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in classes]).cast("array<int>"))).where("_level > _own").withColumn("_kind", F.lit(1))
+    placed = own.unionByName(below).withColumn("_cell", F.explode(_by_level(F.col("_level"), _covered))).drop("_own")
+    looks = F.concat(
+        F.transform(F.sequence(F.col("_class"), F.lit(LEVELS - 1)), lambda k: F.struct(F.lit(0).alias("_kind"), k.alias("_level"))), F.array(F.struct(F.lit(1).alias("_kind"), F.col("_class").alias("_level")))
+    )
+    probes = spots.withColumn("_look", F.explode(looks)).select("_spot", *same, "lat", "lon", "bound_m", "_look.*")
+    probes = probes.withColumn("_cell", F.explode(_by_level(F.col("_level"), lambda m: around(F.col("lat"), F.col("lon"), m))))
+    near = probes.join(placed, ["_kind", "_level", "_cell", *same]).where(_box_m() <= F.col("bound_m") * 1.01 + 0.01)
+    if report is not None:
+        near = stored(near)
+        report["comparisons"], report["spots"] = near.count(), spots.count()
+    best = _best_segment(near.withColumn("query", F.col("_spot"))).drop("_planar").withColumnRenamed("query", "_spot")
+    return asked.select("query", "_spot").join(best, "_spot", "left").drop("_spot")
+
+
+def _box_m() -> Column:
+    """A lower bound of the metres from lat, lon to the box of lat1, lon1, lat2, lon2, up to a hundredth; 0 near the poles and where bound_m is wide, where a plane says nothing."""
+    out = lambda c: F.greatest(F.lit(0.0), F.least(f"{c}1", f"{c}2") - F.col(c), F.col(c) - F.greatest(f"{c}1", f"{c}2"))
+    # A degree of longitude is least at the latitude farthest from the equator.
+    far = F.greatest(F.abs("lat"), F.abs("lat1"), F.abs("lat2"))
+    across = F.least(out("lon"), F.abs(F.lit(360.0) - out("lon")))
+    return F.when((F.col("bound_m") > 500_000) | (far > 85), F.lit(0.0)).otherwise(F.hypot(out("lat"), across * F.cos(F.radians(far))) * DEGREE_M * 0.99)
 
 
 def nearest_on_route(queries: DataFrame, segments: DataFrame) -> DataFrame:
-    """(query, track, segment, t, distance_m) of the nearest point of the query's own route; nulls where the route has no segments.
-
-    queries: query, route, lat, lon; segments: as for nearest_segment, with route. A query meets its route's segments only, one comparison in a plane each.
-    """
-    best = _best_segment(queries.select("query", "route", "lat", "lon").join(segments, "route")).drop("_planar")
-    return queries.select("query").join(best, "query", "left")
+    """nearest_segment among the segments of the query's own route: both have the column route; nulls where the route has no segments."""
+    return nearest_segment(queries, segments, ["route"])
 
 
 def contains(a: Column, b: Column, least: int = 1) -> Column:

@@ -136,11 +136,11 @@ def nearest_place(spark, sf_dir):
 
 def nearest_track(spark, sf_dir):
     # Tracks are set apart, by their number, over ten latitudes.
-    p = points(spark, sf_dir).withColumn("lat", F.col("lat") + (F.col("track") % 10).cast("double") / F.lit(20.0))
+    p = points(spark, sf_dir).withColumn("lat", F.col("lat") + (F.col("track") % 10).cast("double") / F.lit(20.0) + F.col("track").cast("double") / F.lit(1e7))
     w = Window.partitionBy("track").orderBy("seq")
     seg = p.select("track", F.col("seq").alias("segment"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2")).where("lat2 IS NOT NULL")
     q = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query"), (F.lit(40.0) + (F.col("c_custkey") % 10).cast("double") / F.lit(20.0)).alias("lat"), (F.lit(-3.0) + (F.col("c_custkey") % 41).cast("double") / F.lit(10000.0)).alias("lon"))
-    return S.nearest_segment(q, seg).select("query", rounded(F.col("distance_m"), 2).alias("distance_m"))
+    return S.nearest_segment(q, seg).select("query", "track", rounded(F.col("distance_m"), 2).alias("distance_m"))
 
 
 def attach_variants(spark, sf_dir):
@@ -219,13 +219,13 @@ ORACLE_SQL = {
     "nearest_place": f"""WITH p AS ({PLACES_SQL}), b AS (SELECT x.place AS query, min(({NEAR}, y.place)) AS m FROM p x JOIN p y ON NOT x."primary" AND y."primary" AND abs(x.lat - y.lat) < 0.03 AND {NEAR} <= 3000 GROUP BY x.place)
         SELECT p.place AS query, b.m[2] AS place, {R('b.m[1]')} AS distance_m FROM p LEFT JOIN b ON p.place = b.query WHERE NOT p."primary" """,
     # The nearest track is on the query's own latitude; those on others are more than 5 km away.
-    "nearest_track": f"""WITH p AS (SELECT track, seq, lat + CAST(track % 10 AS DOUBLE) / 20 AS lat, lon FROM ({POINTS_SQL})),
-        s AS (SELECT track % 10 AS k, lat AS a, lon AS o, lead(lat) OVER w AS b, lead(lon) OVER w AS p FROM p WINDOW w AS (PARTITION BY track ORDER BY seq)),
+    "nearest_track": f"""WITH p AS (SELECT track, seq, lat + CAST(track % 10 AS DOUBLE) / 20 + CAST(track AS DOUBLE) / CAST(10000000 AS DOUBLE) AS lat, lon FROM ({POINTS_SQL})),
+        s AS (SELECT track, track % 10 AS k, lat AS a, lon AS o, lead(lat) OVER w AS b, lead(lon) OVER w AS p FROM p WINDOW w AS (PARTITION BY track ORDER BY seq)),
         q AS (SELECT c_custkey AS query, c_custkey % 10 AS k, CAST(40 AS DOUBLE) + CAST(c_custkey % 10 AS DOUBLE) / 20 AS lat, CAST(-3 AS DOUBLE) + CAST(c_custkey % 41 AS DOUBLE) / 10000 AS lon FROM customer),
         h AS (SELECT *, greatest(CAST(0.2 AS DOUBLE), abs(cos(radians((lat + a + b) / 3)))) AS w FROM q JOIN s USING (k) WHERE b IS NOT NULL),
         g AS (SELECT *, radians(p - o) * w * 6371008.8 AS x, radians(b - a) * 6371008.8 AS y, radians(lon - o) * w * 6371008.8 AS px, radians(lat - a) * 6371008.8 AS py FROM h),
         t AS (SELECT *, CASE WHEN x * x + y * y > 1e-9 THEN greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (px * x + py * y) / (x * x + y * y))) ELSE CAST(0 AS DOUBLE) END AS t FROM g)
-        SELECT query, {R(f"min({haversine_sql('lat', 'lon', 'a + (b - a) * t', 'o + (p - o) * t')})", 2)} AS distance_m FROM t GROUP BY query""",
+        SELECT query, arg_min(track, square) AS track, {R("arg_min(d, square)", 2)} AS distance_m FROM (SELECT *, (px - x * t) * (px - x * t) + (py - y * t) * (py - y * t) AS square, {haversine_sql('lat', 'lon', 'a + (b - a) * t', 'o + (p - o) * t')} AS d FROM t) GROUP BY query""",
     "attach_variants": f"""WITH p AS ({ALIAS_SQL.replace("WHEN place", 'WHEN NOT "primary" AND place')}), m AS (SELECT * FROM p WHERE "primary"), v AS (SELECT * FROM p WHERE NOT "primary"),
         c AS (SELECT x.place AS variant, y.place, CASE WHEN x.name = y.name THEN 0 ELSE 1 END AS tier, x.route = y.route AS same, {NEAR} AS d FROM v x JOIN m y ON x.name = y.name OR (length(x.name) >= 5 AND length(y.name) >= 5
               AND (contains(x.name, y.name) OR contains(y.name, x.name)) AND x.name NOT IN (SELECT name FROM m))),
