@@ -16,13 +16,13 @@ def edge_families(tracks: DataFrame, family: Column) -> DataFrame:
     """One row per (from_key, to_key) and family of tracks between them; tracks that start and end at one place make no edge.
 
     representative: the track with the most points (points, if there), then the least length, then the least track. family_index counts a pair's
-    families by their least track; kind is SINGLE (one track), SHARED (one family of several) or ALTERNATIVE (several families).
+    families by their least order (order, if there, else track); kind is SINGLE (one track), SHARED (one family of several) or ALTERNATIVE (several families).
     """
     own = tracks.where("from_key <> to_key").withColumn("_family", family)
     n = -F.col("points") if "points" in tracks.columns else F.lit(0)
     out = own.groupBy("from_key", "to_key", "_family").agg(
         F.count("*").alias("tracks"), F.min("length_m").alias("length_min_m"), F.max("length_m").alias("length_max_m"),
-        F.min_by("track", F.struct(n, "length_m", "track")).alias("representative"), F.array_sort(F.collect_set("route")).alias("routes"), F.min("track").alias("_first"),
+        F.min_by("track", F.struct(n, "length_m", "track")).alias("representative"), F.array_sort(F.collect_set("route")).alias("routes"), F.min("order" if "order" in tracks.columns else "track").alias("_first"),
     )
     pair = Window.partitionBy("from_key", "to_key")
     out = out.withColumn("family_index", F.row_number().over(pair.orderBy("_first"))).withColumn("families", F.count("*").over(pair))

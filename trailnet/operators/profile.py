@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from . import folds
+from .cells import near
 from .graph import components
-from .route import compare_geometry
+from .route import SAME_M, compare_geometry, resampled
 
 #: Metres under which a gap or an end counts as closed, and under which two samples are one.
 CLOSED_M, REPEATED_M = 0.05, 0.01
@@ -101,10 +102,12 @@ def climb_to_next(points: DataFrame, stops: DataFrame) -> DataFrame:
 def geometry_families(tracks: DataFrame, points: DataFrame, samples: int = 101) -> DataFrame:
     """(track, family): tracks(track, from_key, to_key) between the same places whose geometries are IDENTICAL or SAME, in chains; family is the least track.
 
-    points: track, seq, along_m, lat, lon. Tracks are compared within a pair of places only.
+    points: track, seq, along_m, lat, lon. Tracks are compared within a pair of places only, and there only those whose middles (of an odd number of samples, the same from
+    either end) are as near as they must be.
     """
     t = tracks.where("from_key <> to_key").select("track", "from_key", "to_key")
-    pairs = t.withColumnRenamed("track", "a").join(t.withColumnRenamed("track", "b"), ["from_key", "to_key"]).where("a < b").select("a", "b")
+    middle = t.join(resampled(points, samples).where(F.col("k") == (samples - 1) // 2).drop("k"), "track")
+    pairs = near(middle.withColumnRenamed("track", "a"), middle.withColumnsRenamed({"track": "b", "lat": "to_lat", "lon": "to_lon"}), SAME_M, ["from_key", "to_key"]).where("a < b").select("a", "b")
     alike = compare_geometry(pairs, points, samples).where("class IN ('IDENTICAL', 'SAME')")
     return components(t.select(F.col("track").alias("node")), alike.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("track"), F.col("component").alias("family"))
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_m
 from .graph import bounded_paths, shared_dir, shortest_paths, stored
 
+#: Fixed value: the largest separation of tracks of the same geometry.
+SAME_M = 30.0
+
 _END = "struct<track:bigint,alat:double,alon:double,blat:double,blon:double>"
 
 
@@ -132,13 +135,14 @@ def resampled(points: DataFrame, samples: int = 101) -> DataFrame:
     return seg.select("track", "k", (F.col("lat") + (F.col("n_lat") - F.col("lat")) * t).alias("lat"), (F.col("lon") + (F.col("n_lon") - F.col("lon")) * t).alias("lon"))
 
 
-def compare_geometry(pairs: DataFrame, points: DataFrame, samples: int = 101, same=(30.0, 0.02), near=(100.0, 0.05)) -> DataFrame:
+def compare_geometry(pairs: DataFrame, points: DataFrame, samples: int = 101, same=(SAME_M, 0.02), near=(100.0, 0.05)) -> DataFrame:
     """pairs(a, b) with separation_m, the largest distance of even samples in the better of the two directions, and class: IDENTICAL, SAME, NEAR, ALTERNATIVE."""
     s = resampled(points, samples)
     total = points.groupBy("track").agg(F.max("along_m").alias("length_m"))
-    a = s.withColumnsRenamed({"track": "a", "lat": "alat", "lon": "alon"})
+    # Each sample of one meets its like of the other, counted from either end.
+    a = s.withColumnsRenamed({"track": "a", "lat": "alat", "lon": "alon"}).withColumn("kb", F.explode(F.array_distinct(F.array(F.col("k"), F.lit(samples - 1) - F.col("k")))))
     b = s.withColumnsRenamed({"track": "b", "lat": "blat", "lon": "blon", "k": "kb"})
-    both = pairs.join(a, "a").join(b, "b").where(f"k = kb OR k = {samples - 1} - kb").withColumn("d", haversine_m("alat", "alon", "blat", "blon"))
+    both = pairs.join(a, "a").join(b, ["b", "kb"]).withColumn("d", haversine_m("alat", "alon", "blat", "blon"))
     far = both.groupBy("a", "b").agg(F.max(F.when(F.col("k") == F.col("kb"), F.col("d"))).alias("fwd"), F.max(F.when(F.col("k") == samples - 1 - F.col("kb"), F.col("d"))).alias("rev"))
     out = far.join(total.withColumnsRenamed({"track": "a", "length_m": "la"}), "a").join(total.withColumnsRenamed({"track": "b", "length_m": "lb"}), "b")
     sep, diff = F.least("fwd", "rev"), F.abs(F.col("la") - F.col("lb")) / F.greatest("la", "lb")
@@ -175,9 +179,20 @@ def group_tree(edges: DataFrame, root: Column) -> DataFrame:
     return spark.read.schema(level.schema).parquet(*written).select("depth", "place", "caption", "cycle", "sort_path")
 
 
-def resolve_root(places: DataFrame, wanted: str, aliases: dict[str, str]) -> DataFrame:
+def root_candidates(places: DataFrame, wanted: str, aliases: dict[str, str]) -> DataFrame:
     """Rows of places(place_key, name_key) that wanted names, by the first rule that finds any: alias or key, name, containment."""
     key = F.lit(aliases.get(wanted, wanted))
     tier = F.when(F.col("place_key") == key, 0).when(F.col("name_key") == key, 1).when(F.contains("name_key", key) | F.contains(key, F.col("name_key")), 2)
     t = places.withColumn("tier", tier).where("tier IS NOT NULL")
     return t.join(F.broadcast(t.agg(F.min("tier").alias("tier"))), "tier").select("place_key", "name_key", "tier")
+
+
+def resolve_root(places: DataFrame, wanted: str, aliases: dict[str, str], most_named: int = 12) -> DataFrame:
+    """The one row of root_candidates. Fails when it is computed where there is none, or where there are several, of which it names the first most_named."""
+    few = root_candidates(places, wanted, aliases).orderBy("place_key").limit(most_named + 1)
+    all_ = few.agg(F.array_sort(F.collect_list(F.struct("place_key", "name_key", "tier"))).alias("c"))
+    names = F.array_join(F.transform(F.slice("c", 1, most_named), lambda x: x["place_key"].cast("string")), ", ")
+    more = F.when(F.size("c") > most_named, ", ...").otherwise("")
+    error = F.when(F.size("c") == 0, F.lit(f"No place is named {wanted}")).otherwise(F.concat(F.lit(f"{wanted} is one of: "), names, more))
+    one = F.when(F.size("c") == 1, F.col("c")[0]).otherwise(F.raise_error(error).cast("struct<place_key:string,name_key:string,tier:int>"))
+    return all_.select(one.alias("r")).select("r.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
+from ..functions.geo import haversine_m, initial_bearing
 from .cells import DEGREE_M, around, cell, row_cells
 from .cells import near as near_rows
 from .graph import components, stored
@@ -171,6 +171,14 @@ def nearest_on_route(queries: DataFrame, segments: DataFrame) -> DataFrame:
     return nearest_segment(queries, segments, ["route"])
 
 
+def route_bearing(queries: DataFrame, segments: DataFrame) -> DataFrame:
+    """(query, bearing, live) for each queries(query, lat, lon, course): its course, if it has one (live), else the bearing of the nearest of segments; null without either."""
+    open_ = queries.where("course IS NULL")
+    at = nearest_segment(open_, segments).join(segments, ["track", "segment"])
+    found = at.select("query", initial_bearing("lat1", "lon1", "lat2", "lon2").alias("_b"))
+    return queries.select("query", "course").join(found, "query", "left").select("query", F.coalesce(F.col("course").cast("double"), "_b").alias("bearing"), F.col("course").isNotNull().alias("live"))
+
+
 def contains(a: Column, b: Column, least: int = 1) -> Column:
     """Whether one of two keys of at least so many characters holds the other."""
     return (F.length(a) >= least) & (F.length(b) >= least) & (F.contains(a, b) | F.contains(b, a))

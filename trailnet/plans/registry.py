@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bridging, joins, motion, profiles, records, routes, stateful
+from . import bridging, identities, joins, motion, profiles, records, routes, stateful
 
-_MODULES = (motion, joins, routes, stateful, records, profiles, bridging)
+_MODULES = (motion, joins, routes, stateful, records, profiles, bridging, identities)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

@@ -46,6 +46,24 @@ def tracks_of(files: DataFrame) -> DataFrame:
     return df.select("path", "route_code", "section_id", F.when(F.col("section_id").isNotNull(), F.concat_ws(":", "route_code", "section_id")).alias("track_id"), "label", ends["from_raw"].alias("from_raw"), ends["to_raw"].alias("to_raw"))
 
 
+def counters(files: DataFrame) -> DataFrame:
+    """(path, coordinates, elevations, valid) of every file: its points, those with an elevation, and whether it has any point."""
+    n = coordinates(files).groupBy("path").agg(F.count("*").alias("coordinates"), F.count("ele").alias("elevations"))
+    zero = F.lit(0).cast("long")
+    out = files.select("path").join(n, "path", "left").select("path", F.coalesce("coordinates", zero).alias("coordinates"), F.coalesce("elevations", zero).alias("elevations"))
+    return out.withColumn("valid", F.col("coordinates") > 0)
+
+
+def required_index(rows: DataFrame) -> DataFrame:
+    """index_rows with their route_id (of the track file's name), which no two may share: fails at once where there are no rows, and where two do when it is computed."""
+    if rows.isEmpty():
+        raise ValueError("The index has no tracks")
+    own = rows.withColumn("route_id", N.required_route_id(F.col("page_filename")))
+    many = F.count("*").over(Window.partitionBy("route_id")) > 1
+    checked = F.when(many, F.raise_error(F.concat(F.lit("Duplicate route id in the index: "), "route_id"))).otherwise(F.col("route_id"))
+    return own.withColumn("route_id", checked.cast("string"))
+
+
 def invalid(files: DataFrame) -> DataFrame:
     """Paths of files without a point."""
     return files.select("path").join(coordinates(files).select("path").distinct(), "path", "left_anti")
