@@ -27,7 +27,7 @@ def world(seed=4, n=90):
         back = k % 5 == 2
         (alat, alon), (blat, blon) = (q, p) if back else (p, q)
         a = "vitoriagasteiz" if a == "vitoria" and k % 2 else "ramal norte" if k % 17 == 5 else f"solo{k % 3}" if k % 19 == 4 else a
-        b = None if k == 50 else b
+        b = None if k == 50 else "estellalizarra" if b == "estella" and k % 3 == 0 else b
         tracks.append((k, f"ES{k % 3}", f"{k:02d}", k % 19 != 4 and k % 3 != 0, a, b, (a or "").title(), (b or "").title() or None, alat, alon, blat, blon, back, 0.0, 3))
     mids = {t[0]: ((t[8] + t[10]) / 2 + (t[0] // 4 % 3) * 0.0012, (t[9] + t[11]) / 2) for t in tracks}
     length = lambda t: haversine(t[8], t[9], *mids[t[0]]) + haversine(*mids[t[0]], t[10], t[11])
