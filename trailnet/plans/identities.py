@@ -147,3 +147,51 @@ ORACLE_SQL = {
     "variant_attachments": f"""{IDENTITY_SQL} SELECT track, role, place, {rounded_sql('round(m[3], 1)', 0)} AS distance_m, m[3] > 5000 AS outside,
         CASE WHEN m[1] = 1 THEN 'variant_endpoint_name_alias_primary_place' ELSE 'variant_endpoint_exact_name_primary_place' END AS reason FROM other JOIN taken USING (id)""",
 }
+
+_AT = "total / 100 * i"
+_MID = lambda a, m, b: f"CASE WHEN {_AT} < leg THEN {a} + ({m} - {a}) * ({_AT} / leg) ELSE {m} + ({b} - {m}) * least(CAST(1 AS DOUBLE), ({_AT} - leg) / (total - leg)) END"
+_SEP = haversine_sql("x.lat", "x.lon", "y.lat", "y.lon")
+#: Places whose names hold each other lie a few metres apart or kilometres: two at most are merged, so the lesser of both stands for them.
+NETWORK_SQL = f"""{IDENTITY_SQL},
+placed AS MATERIALIZED (
+  SELECT place, name, lat, lon, observations, list_sort(list_distinct(list_concat(routes, coalesce(r, [])))) AS routes FROM p_place LEFT JOIN (SELECT place, list(DISTINCT route) AS r FROM other JOIN taken USING (id) GROUP BY place) USING (place)
+  UNION ALL SELECT place, name, lat, lon, observations, routes FROM v_place),
+stemmed AS (SELECT *, regexp_replace(name, 'villa$', '') AS stem FROM placed),
+alias AS MATERIALIZED (SELECT x.place AS a, y.place AS b FROM stemmed x JOIN stemmed y ON x.stem = y.stem AND x.name <> y.name WHERE {_SEP} <= 5000),
+canon AS MATERIALIZED (SELECT place, least(place, coalesce(m, place)) AS c FROM placed LEFT JOIN (SELECT a AS place, min(b) AS m FROM alias GROUP BY a) USING (place)),
+record AS MATERIALIZED (
+  SELECT c AS place, arg_max(upper(name[1]) || substr(name, 2), (length(name), name)) AS name, sum(observations) AS observations, list_sort(list_distinct(flatten(list(routes)))) AS routes FROM placed JOIN canon USING (place) GROUP BY c),
+walk AS MATERIALIZED (
+  SELECT *, {haversine_sql("alat", "alon", "mlat", "mlon")} AS leg, {haversine_sql("alat", "alon", "mlat", "mlon")} + {haversine_sql("mlat", "mlon", "blat", "blon")} AS total FROM (
+    SELECT *, (alat + blat) / 2 + CAST(track // 8 % 3 AS DOUBLE) * CAST(0.00011 AS DOUBLE) AS mlat, (alon + blon) / 2 AS mlon FROM (
+      SELECT track, route, CASE WHEN back THEN tlat ELSE flat END AS alat, CASE WHEN back THEN tlon ELSE flon END AS alon, CASE WHEN back THEN flat ELSE tlat END AS blat, CASE WHEN back THEN flon ELSE tlon END AS blon FROM t))),
+own AS MATERIALIZED (
+  SELECT w.*, f.c AS f, g.c AS g FROM walk w JOIN (SELECT track, c FROM occurrence JOIN canon USING (place) WHERE role = 'from') f USING (track) JOIN (SELECT track, c FROM occurrence JOIN canon USING (place) WHERE role = 'to') g USING (track)),
+sample AS MATERIALIZED (SELECT track, f, g, total, i, {_MID("alat", "mlat", "blat")} AS lat, {_MID("alon", "mlon", "blon")} AS lon FROM own, (SELECT unnest(range(101)) AS i) WHERE f <> g),
+apart AS (
+  SELECT x.track AS a, y.track AS b, max(CASE WHEN x.i = y.i THEN {_SEP} END) AS fwd, max(CASE WHEN x.i = 100 - y.i THEN {_SEP} END) AS rev, abs(any_value(x.total) - any_value(y.total)) / greatest(any_value(x.total), any_value(y.total)) AS diff
+  FROM sample x JOIN sample y ON x.f = y.f AND x.g = y.g AND x.track <> y.track AND (x.i = y.i OR x.i = 100 - y.i) GROUP BY x.track, y.track),
+alike AS MATERIALIZED (SELECT a, b FROM apart WHERE least(fwd, rev) <= 30 AND diff <= 0.02),
+kin(track, l) AS (SELECT track, track FROM own WHERE f <> g UNION SELECT a.b, k.l FROM kin k JOIN alike a ON a.a = k.track),
+family AS (SELECT track, min(l) AS l FROM kin GROUP BY track),
+ranked AS (
+  SELECT f AS from_key, g AS to_key, l, count(*) AS tracks, min(total) AS shortest, max(total) AS longest, arg_min(track, (total, track)) AS representative, list_sort(list_distinct(list(route))) AS routes, min((route, track)) AS first
+  FROM own JOIN family USING (track) GROUP BY f, g, l),
+edge AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY from_key, to_key ORDER BY first) AS family_index, count(*) OVER (PARTITION BY from_key, to_key) AS families FROM ranked),
+named_edge AS MATERIALIZED (SELECT *, from_key || '>' || to_key || '#' || family_index AS edge_id FROM edge),
+bond AS MATERIALIZED (SELECT from_key AS a, to_key AS b FROM edge UNION SELECT to_key, from_key FROM edge),
+part(place, l) USING KEY (place) AS (
+  SELECT a, min(least(a, b)) FROM bond GROUP BY a
+  UNION ALL SELECT x.place, x.l FROM (SELECT b.b AS place, min(p.l) AS l FROM part p JOIN bond b ON b.a = p.place GROUP BY b.b) x JOIN recurring.part q ON q.place = x.place WHERE x.l < q.l),
+size AS (SELECT l, row_number() OVER (ORDER BY count(*) DESC, l) AS component_id FROM part GROUP BY l)
+"""
+ORACLE_SQL["network_edges"] = f"""{NETWORK_SQL} SELECT edge_id, from_key, to_key, family_index, families, CASE WHEN families > 1 THEN 'ALTERNATIVE' WHEN tracks > 1 THEN 'SHARED' ELSE 'SINGLE' END AS kind, tracks, representative,
+    array_to_string(routes, '|') AS routes, {rounded_sql('shortest')} AS length_min_m, {rounded_sql('longest')} AS length_max_m FROM named_edge"""
+ORACLE_SQL["network_nodes"] = f"""{NETWORK_SQL}, goes AS (SELECT from_key AS place, count(*) AS n, string_agg(edge_id, '|' ORDER BY edge_id) AS ids FROM named_edge GROUP BY 1), comes AS (SELECT to_key AS place, count(*) AS n, string_agg(edge_id, '|' ORDER BY edge_id) AS ids FROM named_edge GROUP BY 1)
+    SELECT place, name, observations, coalesce(c.n, 0) AS incoming, coalesce(g.n, 0) AS outgoing, coalesce(c.n, 0) >= 2 AS is_merge, coalesce(g.n, 0) >= 2 AS is_branch, component_id, array_to_string(routes, '|') AS routes,
+           coalesce(c.ids, '') AS incoming_edges, coalesce(g.ids, '') AS outgoing_edges FROM part JOIN size USING (l) JOIN record USING (place) LEFT JOIN goes g USING (place) LEFT JOIN comes c USING (place)"""
+ORACLE_SQL["network_report"] = f"""{NETWORK_SQL} SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM size) AS weak_components, (SELECT count(*) FROM edge) AS edge_families, (SELECT CAST(sum(tracks - 1) AS BIGINT) FROM edge) AS merged_duplicate_source_tracks,
+    (SELECT count(DISTINCT (from_key, to_key)) FROM edge) AS logical_pairs, (SELECT count(DISTINCT (from_key, to_key)) FROM edge WHERE families > 1) AS alternative_pairs, (SELECT count(*) FROM ({WALKS_SQL}) WHERE starts_with(from_key, 'ramal')) AS detached_variant_tracks,
+    (SELECT count(*) FROM own WHERE f = g) AS collapsed_alias_connector_tracks, (SELECT count(DISTINCT name) FROM p_place WHERE c > 1) + (SELECT count(DISTINCT name) FROM v_place WHERE c > 1) AS spatially_split_normalized_names,
+    (SELECT count(*) FROM canon WHERE place <> c) AS automatic_alias_merges, (SELECT count(*) FROM alias x JOIN canon p ON p.place = x.a JOIN canon q ON q.place = x.b WHERE x.a < x.b AND p.c <> q.c AND (p.c IN (SELECT place FROM part) OR q.c IN (SELECT place FROM part))) AS alias_candidates,
+    (SELECT count(*) FROM taken) AS variant_endpoints_attached_to_primary_places, (SELECT count(*) FROM taken WHERE m[3] > 5000) AS variant_endpoints_forced_outside_radius"""
