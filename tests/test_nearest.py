@@ -48,3 +48,14 @@ def test_nearest_on_route(spark):
     for q, route, lat, lon in queries[:190]:
         want = min(to_segment(lat, lon, *s[3:]) for s in segments if s[2] == route)[1]
         assert abs(got[q].distance_m - want) <= 0.01 + 1e-4 * want and got[q].track % 2 == "AB".index(route)
+
+
+def test_many_rows_at_one_spot_are_one_to_compare(spark):
+    from pyspark.sql import functions as F
+
+    crowd = spark.range(200_000).select("id", F.lit("a").alias("name"), F.lit(42.0).alias("lat"), F.lit(-3.0).alias("lon"))
+    more = spark.createDataFrame([(300_000, "a", 42.0005, -3.0), (300_001, "b", 42.0005, -3.0), (300_002, "a", 43.0, -3.0), (300_003, "a", None, -3.0), (300_004, None, 42.0, -3.0)], "id long, name string, lat double, lon double")
+    got = spatial.single_link_clusters(crowd.unionByName(more), "id", 100.0, ["name"])
+    sizes = {r.component: r["count"] for r in got.groupBy("component").count().collect()}
+    assert sizes == {0: 200_001, 300_001: 1, 300_002: 1, 300_003: 1, 300_004: 1}
+    assert got.count() == 200_005

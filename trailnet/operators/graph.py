@@ -32,26 +32,30 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for nodes(node) and undirected edges(src, dst): the smallest node that can be reached.
 
-    Each round takes over the smallest label of all neighbours and then jumps to that label's own label, so that labels travel in
-    doubling steps along chains.
+    Each round links every node's larger neighbours to its smallest one, then all its neighbours to that: grouped minima and joins on nodes, never on
+    components, so a giant component is spread like any other rows. Rounds grow with the logarithm of the longest path; the last changes nothing.
     """
-    links = stored(_both_ways(edges.where("src <> dst")))
-    labels = stored(nodes.select("node", F.col("node").alias("component")).distinct())
+
+    def told(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20, 0)"))).first()
+
+    links = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    was = told(links)
     for _ in range(max_rounds):
-        near = links.join(labels.withColumnsRenamed({"node": "src"}), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("seen"))
-        low = labels.join(near, "node", "left").select("node", F.least("component", "seen").alias("component"), F.col("component").alias("old"))
-        jump = low.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = stored(low.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "old"))
-        labels = new.select("node", "component")
-        if new.where("component <> old").isEmpty():
-            return labels
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
+        star = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        least = star.groupBy("u").agg(F.min("v").alias("_m"))
+        ends = star.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("_m").alias("v")), F.struct(F.col("v").alias("u"), F.col("_m").alias("v")))).alias("e"))
+        links = stored(ends.select("e.*").where("u <> v").distinct())
+        now = told(links)
+        if now == was:
+            labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        was = now
     raise RuntimeError("components did not settle")
 
 

@@ -23,9 +23,16 @@ def near_pairs(df: DataFrame, key: str, radius_m: float, same: list[str] = (), k
 
 
 def single_link_clusters(df: DataFrame, key: str, radius_m: float, same: list[str] = ()) -> DataFrame:
-    """(node, component): rows joined by chains of neighbours within radius_m; component is the smallest key."""
-    links = near_pairs(df, key, radius_m, same).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return components(df.select(F.col(key).alias("node")), links)
+    """(node, component): rows joined by chains of neighbours within radius_m, equal in the columns same; component is the smallest key.
+
+    Rows at one spot are one for the comparison, however many. A row with a null coordinate, or a null in same, is alone.
+    """
+    where = [*same, "lat", "lon"]
+    spots = stored(df.dropna(subset=where).groupBy(*where).agg(F.min(key).alias("_spot")))
+    links = near_pairs(spots, "_spot", radius_m, same).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = components(spots.select(F.col("_spot").alias("node")), links)
+    at = spots.join(labels, F.col("_spot") == F.col("node")).select(*where, "component")
+    return df.select(F.col(key).alias("node"), *where).join(at, where, "left").select("node", F.coalesce("component", "node").alias("component")).distinct()
 
 
 def cluster_places(df: DataFrame, key: str, name: str, radius_m: float) -> DataFrame:
