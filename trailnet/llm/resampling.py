@@ -28,7 +28,7 @@ SEED = 42
 LEAST_WORDS = 20
 #: Rows of a range of scores, and the most ranges there are.
 RANGE_ROWS, MOST_RANGES = 20_000, 10_000
-#: Texts in a batch that goes to Python.
+#: Texts in a batch that goes to Python, and that are laid out there at once.
 BATCH = 256
 
 #: Bytes of words stay, A to Z as a to z; all others part words.
@@ -72,6 +72,13 @@ def _counted(df: DataFrame, run: int, buckets: int) -> DataFrame:
     return materialize(texts.mapInArrow(count, schema), "zstd", BATCH)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of batches, BATCH at a time: laid out feature by feature a text takes many times its row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield batch.slice(at, BATCH)
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, times) of all features of a batch's texts."""
     gaps, times = batch.column("gaps"), batch.column("times")
@@ -87,7 +94,7 @@ def _totals(counted: DataFrame, buckets: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             row, at, times = _flat(batch)
             np.add.at(own, at, times * np.asarray(batch.column("copies"))[row])
         at = np.flatnonzero(own)
@@ -106,7 +113,7 @@ def gains(target: np.ndarray, corpus: np.ndarray) -> np.ndarray:
 
 def _weighed(counted: DataFrame, gain: np.ndarray) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             row, at, times = _flat(batch)
             sums = np.zeros(batch.num_rows, np.int64)
             np.add.at(sums, row, gain[at] * times)
