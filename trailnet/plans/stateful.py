@@ -41,9 +41,9 @@ def heading_curves(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     n, k = F.col("c_custkey"), F.col("c_custkey").cast("double")
     lat, lon, t = k / 1000, k / 500, (n % 101).cast("double") / 100
-    ends = (lat, lon, lat + (n % 4 + 1).cast("double") / 100, lon + (n % 3).cast("double") / 50, k * 7.25 % 360, k * 13.5 % 360)
-    at = G.hermite(*ends, t)
-    return c.select("c_custkey", rounded(at["lat"], 6).alias("lat"), rounded(at["lon"], 6).alias("lon"), rounded(G.hermite_bearing(*ends, t), 3).alias("bearing"))
+    way = (lat, lon, (n % 4 + 1).cast("double") / 100, (n % 3).cast("double") / 50, k * 7.25 % 360, k * 13.5 % 360)
+    at = G.hermite_from(*way, t)
+    return c.select("c_custkey", rounded(at["lat"], 6).alias("lat"), rounded(at["lon"], 6).alias("lon"), rounded(G.hermite_bearing_from(*way, t), 3).alias("bearing"))
 
 
 QUERIES = {f.__name__: f for f in (thin_points, ewma_motion, motion_fsm, profile_samples, smoothed_bearing, heading_curves)}
