@@ -17,7 +17,7 @@ from .graph import stored
 from .merging import complete_link, merged_records
 from .network import edge_families, ranked_components
 from .profile import geometry_families, orient_variants
-from .spatial import alias_pairs, attach_variants, single_link_clusters
+from .spatial import alias_pairs, attach_variants, by_position, single_link_clusters
 
 #: Within what distance ends of one name are one place, by default and at least.
 RADIUS_M, LEAST_RADIUS_M = 5000.0, 1000.0
@@ -65,7 +65,7 @@ def _clustered(observed: DataFrame, radius_m: float, source: str) -> tuple[DataF
         F.array_sort(F.collect_set("display")).alias("aliases"), F.array_sort(F.collect_set("route")).alias("routes"),
     )
     own = Window.partitionBy("name")
-    groups = groups.withColumn("cluster_index", F.row_number().over(own.orderBy("_lat", "_lon", "_first"))).withColumn("cluster_count", F.count("*").over(own))
+    groups = groups.withColumn("cluster_index", F.row_number().over(own.orderBy(*by_position("_lat", "_lon", "_first")))).withColumn("cluster_count", F.count("*").over(own))
     key = F.when(F.col("cluster_count") > 1, F.concat("name", F.lit("@"), F.col("cluster_index").cast("string"))).otherwise(F.col("name"))
     # The centres are what is told of places, and what is measured from: seven digits.
     groups = stored(groups.select(

@@ -35,6 +35,15 @@ def single_link_clusters(df: DataFrame, key: str, radius_m: float, same: list[st
     return df.select(F.col(key).alias("node"), *where).join(at, where, "left").select("node", F.coalesce("component", "node").alias("component")).distinct()
 
 
+#: Decimals of a degree to which mean positions are compared: sums of doubles differ beyond them with the order of their rows.
+ORDER_DIGITS = 9
+
+
+def by_position(lat: str, lon: str, first: str) -> list[Column]:
+    """Sort keys of clusters: mean latitude, mean longitude, least key."""
+    return [F.round(lat, ORDER_DIGITS), F.round(lon, ORDER_DIGITS), F.col(first)]
+
+
 def cluster_places(df: DataFrame, key: str, name: str, radius_m: float) -> DataFrame:
     """One row per cluster of observations of a name: cluster_index (by mean latitude, mean longitude, least key), cluster_count, centre, observations.
 
@@ -42,7 +51,7 @@ def cluster_places(df: DataFrame, key: str, name: str, radius_m: float) -> DataF
     clustered = df.join(single_link_clusters(df, key, radius_m, [name]).withColumnRenamed("node", key), key)
     out = clustered.groupBy(name, "component").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("observations"), F.min(key).alias("first"))
     w = Window.partitionBy(name)
-    out = out.withColumn("cluster_index", F.row_number().over(w.orderBy("lat", "lon", "first"))).withColumn("cluster_count", F.count("*").over(w))
+    out = out.withColumn("cluster_index", F.row_number().over(w.orderBy(*by_position("lat", "lon", "first")))).withColumn("cluster_count", F.count("*").over(w))
     return out.withColumn("place_key", F.when(F.col("cluster_count") > 1, F.concat(F.col(name), F.lit("@"), F.col("cluster_index").cast("string"))).otherwise(F.col(name)))
 
 
