@@ -84,6 +84,7 @@ def place_identity(tracks: DataFrame, radius_m: float = RADIUS_M) -> Identity:
     """
     if radius_m < LEAST_RADIUS_M:
         raise ValueError(f"places are merged within {LEAST_RADIUS_M} m at least")
+    tracks = tracks.select("track", "route", "primary", "from_key", "to_key", "from_name", "to_name", "alat", "alon", "blat", "blon", "reversed")
     named = stored(tracks.where(F.col("from_key").isNotNull() & F.col("to_key").isNotNull() & ~is_pseudo(F.col("from_key")) & ~is_pseudo(F.col("to_key"))))
     primary = F.coalesce("primary", F.lit(False))
     known, main = _clustered(stored(_observed(named.where(primary).withColumn("reversed", F.coalesce("reversed", F.lit(False))))), radius_m, PRIMARY)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,50 @@ from .folds import haversine
 from .graph import components
 
 
+def _merge(batches, radius_m: float):
+    """(place, merged) of candidates that lie component by component, each nearest first; a component is held at a time."""
+    schema = None
+
+    def flat():
+        nonlocal schema
+        for batch in batches:
+            schema = batch.schema
+            yield from batch.to_pylist()
+
+    for rows in _many(itertools.groupby(flat(), lambda r: r["component"])):
+        kind = schema.field("a").type
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*(x for own in rows for x in _groups(own, radius_m)), strict=True)], names=["place", "merged"])
+
+
+def _many(groups, least: int = 10_000):
+    """Groups as lists, some together that have so many rows."""
+    some, n = [], 0
+    for _, own in groups:
+        some.append(list(own))
+        n += len(some[-1])
+        if n >= least:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
+def _groups(rows: list[dict], radius_m: float) -> list[tuple]:
+    where: dict = {}
+    groups: dict = {}
+    for r in rows:
+        for p in "ab":
+            if r[p] not in where:
+                where[r[p]] = r[p]
+                groups[r[p]] = [(r[p], r[f"{p}_lat"], r[f"{p}_lon"])]
+        x, y = where[r["a"]], where[r["b"]]
+        if x != y and all(haversine(u[1], u[2], v[1], v[2]) <= radius_m for u in groups[x] for v in groups[y]):
+            for u in groups[y]:
+                where[u[0]] = x
+            groups[x] += groups.pop(y)
+    return [(u[0], min(v[0] for v in own)) for own in groups.values() for u in own]
+
+
 def complete_link(places: DataFrame, candidates: DataFrame, radius_m: float) -> DataFrame:
     """(place, merged): the least place of each merged group; places(place, lat, lon), candidates(a, b, distance_m, a_name, b_name).
 
@@ -22,24 +68,9 @@ def complete_link(places: DataFrame, candidates: DataFrame, radius_m: float) ->
     side = lambda p: at.select(F.col("place").alias(p), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), *([F.col("component")] if p == "a" else []))
     rows = candidates.select("a", "b", "distance_m", F.lower("a_name").alias("a_name"), F.lower("b_name").alias("b_name")).join(side("a"), "a").join(side("b"), "b")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        where: dict = {}
-        groups: dict = {}
-        for r in pdf.sort_values(["distance_m", "a_name", "b_name", "a", "b"]).itertuples():
-            for p, lat, lon in ((r.a, r.a_lat, r.a_lon), (r.b, r.b_lat, r.b_lon)):
-                if p not in where:
-                    where[p] = p
-                    groups[p] = [(p, lat, lon)]
-            x, y = where[r.a], where[r.b]
-            if x != y and all(haversine(u[1], u[2], v[1], v[2]) <= radius_m for u in groups[x] for v in groups[y]):
-                for u in groups[y]:
-                    where[u[0]] = x
-                groups[x] += groups.pop(y)
-        out = [(u[0], min(v[0] for v in own)) for own in groups.values() for u in own]
-        return pd.DataFrame(out, columns=["place", "merged"])
-
     kind = dict(places.dtypes)["place"]
-    merged = rows.groupBy("component").applyInPandas(merge, f"place {kind}, merged {kind}")
+    order = ["component", "distance_m", "a_name", "b_name", "a", "b"]
+    merged = rows.select(*order, "a_lat", "a_lon", "b_lat", "b_lon").repartition("component").sortWithinPartitions(*order).mapInArrow(lambda batches: _merge(batches, radius_m), f"place {kind}, merged {kind}")
     return places.select("place").join(merged, "place", "left").select("place", F.coalesce("merged", "place").alias("merged"))
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_m
 from . import folds
 from .cells import near
-from .graph import components
+from .graph import components, stored, unsent
 from .route import SAME_M, compare_geometry, resampled
 
 #: Metres under which a gap or an end counts as closed, and under which two samples are one.
 CLOSED_M, REPEATED_M = 0.05, 0.01
+#: Up to how many tracks between two places each is held against each, without cells.
+FEW = 32
 
 
 def render_points(points: DataFrame, spacing_m: float = 12.0, keys=("track",), order=("seq",)) -> DataFrame:
@@ -106,8 +108,13 @@ def geometry_families(tracks: DataFrame, points: DataFrame, samples: int = 101)
     either end) are as near as they must be.
     """
     t = tracks.where("from_key <> to_key").select("track", "from_key", "to_key")
-    middle = t.join(resampled(points, samples).where(F.col("k") == (samples - 1) // 2).drop("k"), "track")
-    pairs = near(middle.withColumnRenamed("track", "a"), middle.withColumnsRenamed({"track": "b", "lat": "to_lat", "lon": "to_lon"}), SAME_M, ["from_key", "to_key"]).where("a < b").select("a", "b")
+    middle = stored(t.join(resampled(points, samples, (samples - 1) // 2).drop("k"), "track").withColumn("_n", F.count("*").over(Window.partitionBy("from_key", "to_key"))))
+    one = lambda where: middle.where(where).drop("_n").withColumnRenamed("track", "a")
+    other = lambda where: middle.where(where).drop("_n").withColumnsRenamed({"track": "b", "lat": "to_lat", "lon": "to_lon"})
+    # The few tracks between most places meet at once, the many between some in cells.
+    few = unsent(one(F.col("_n") <= FEW)).join(unsent(other(F.col("_n") <= FEW)), ["from_key", "to_key"]).where("a < b").where(haversine_m("lat", "lon", "to_lat", "to_lon") <= SAME_M)
+    many = near(one(F.col("_n") > FEW), other(F.col("_n") > FEW), SAME_M, ["from_key", "to_key"]).where("a < b")
+    pairs = few.select("a", "b").unionByName(many.select("a", "b"))
     alike = compare_geometry(pairs, points, samples).where("class IN ('IDENTICAL', 'SAME')")
     return components(t.select(F.col("track").alias("node")), alike.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("track"), F.col("component").alias("family"))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
-from .graph import bounded_paths, shared_dir, shortest_paths, stored
+from ..functions.geo import EARTH_RADIUS_M, haversine_m
+from .graph import bounded_paths, shared_dir, shortest_paths, stored, unsent
 
 #: Fixed value: the largest separation of tracks of the same geometry.
 SAME_M = 30.0
@@ -122,32 +125,63 @@ def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     return own.join(F.broadcast(before), "_range").withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_before")
 
 
-def resampled(points: DataFrame, samples: int = 101) -> DataFrame:
-    """(track, k, lat, lon): samples points at even distances along each track of points(track, along_m, lat, lon)."""
+def resampled(points: DataFrame, samples: int = 101, only: int | None = None) -> DataFrame:
+    """(track, k, lat, lon): samples points at even distances along each track of points(track, along_m, lat, lon); only: the one of that k."""
     w = Window.partitionBy("track").orderBy("along_m", "seq")
     seg = points.select("track", "along_m", "lat", "lon", *[F.lead(c).over(w).alias(f"n_{c}") for c in ("along_m", "lat", "lon")], F.max("along_m").over(Window.partitionBy("track")).alias("total"))
     step = F.col("total") / F.lit(float(samples - 1))
     # The samples that lie within a segment; its own start belongs to it, the track's end to the last one.
     low = F.ceil(F.col("along_m") / step)
     high = F.when(F.col("n_along_m") >= F.col("total"), F.lit(samples - 1)).otherwise(F.ceil(F.col("n_along_m") / step) - 1)
-    seg = seg.where("n_along_m > along_m").withColumn("k", F.explode(F.when(high >= low, F.sequence(low, high.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
+    seg = seg.where("n_along_m > along_m")
+    if only is None:
+        seg = seg.withColumn("k", F.explode(F.when(high >= low, F.sequence(low, high.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
+    else:
+        seg = seg.withColumn("k", F.lit(only).cast("long")).where((low <= only) & (high >= only))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("k") * step - F.col("along_m")) / (F.col("n_along_m") - F.col("along_m"))))
     return seg.select("track", "k", (F.col("lat") + (F.col("n_lat") - F.col("lat")) * t).alias("lat"), (F.col("lon") + (F.col("n_lon") - F.col("lon")) * t).alias("lon"))
 
 
+def _apart(batches, samples: int):
+    """For each pair of lines the largest distance of even samples, in either direction, and both lengths; pairs with a line of no length are left out."""
+    share = np.linspace(0.0, 1.0, samples)
+    for batch in batches:
+        sides = []
+        for side in "ab":
+            lists = [batch.column(f"{side}_{c}") for c in ("at", "lat", "lon")]
+            starts = lists[0].offsets.to_numpy()
+            at, lat, lon = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+            length = np.array([at[hi - 1] for hi in starts[1:]]) if len(starts) > 1 else np.zeros(0)
+            where = np.empty((2, len(length), samples))
+            for i, (lo, hi) in enumerate(itertools.pairwise(starts)):
+                want = share * length[i]
+                where[0, i], where[1, i] = np.interp(want, at[lo:hi], lat[lo:hi]), np.interp(want, at[lo:hi], lon[lo:hi])
+            sides.append((length, np.radians(where)))
+        (la, (alat, alon)), (lb, (blat, blon)) = sides
+
+        def far(lat, lon, alat=alat, alon=alon):
+            up, across = np.sin((lat - alat) / 2), np.sin((lon - alon) / 2)
+            h = up * up + np.cos(alat) * np.cos(lat) * across * across
+            return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, h))).max(axis=1, initial=0.0)
+
+        out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *map(pa.array, (far(blat, blon), far(blat[:, ::-1], blon[:, ::-1]), la, lb))], names=["a", "b", "fwd", "rev", "la", "lb"])
+        yield out.filter(pa.array((la > 0) & (lb > 0)))
+
+
 def compare_geometry(pairs: DataFrame, points: DataFrame, samples: int = 101, same=(SAME_M, 0.02), near=(100.0, 0.05)) -> DataFrame:
-    """pairs(a, b) with separation_m, the largest distance of even samples in the better of the two directions, and class: IDENTICAL, SAME, NEAR, ALTERNATIVE."""
-    s = resampled(points, samples)
-    total = points.groupBy("track").agg(F.max("along_m").alias("length_m"))
-    # Each sample of one meets its like of the other, counted from either end.
-    a = s.withColumnsRenamed({"track": "a", "lat": "alat", "lon": "alon"}).withColumn("kb", F.explode(F.array_distinct(F.array(F.col("k"), F.lit(samples - 1) - F.col("k")))))
-    b = s.withColumnsRenamed({"track": "b", "lat": "blat", "lon": "blon", "k": "kb"})
-    both = pairs.join(a, "a").join(b, ["b", "kb"]).withColumn("d", haversine_m("alat", "alon", "blat", "blon"))
-    far = both.groupBy("a", "b").agg(F.max(F.when(F.col("k") == F.col("kb"), F.col("d"))).alias("fwd"), F.max(F.when(F.col("k") == samples - 1 - F.col("kb"), F.col("d"))).alias("rev"))
-    out = far.join(total.withColumnsRenamed({"track": "a", "length_m": "la"}), "a").join(total.withColumnsRenamed({"track": "b", "length_m": "lb"}), "b")
+    """pairs(a, b) with separation_m, the largest distance of even samples in the better of the two directions, and class: IDENTICAL, SAME, NEAR, ALTERNATIVE.
+
+    A track is one row with its points; samples are made where two lines meet, and are never rows. points: track, seq, along_m, lat, lon.
+    """
+    own = points.where("along_m IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").groupBy("track").agg(F.array_sort(F.collect_list(F.struct("along_m", "seq", "lat", "lon"))).alias("p"))
+    own = own.select("track", F.col("p.along_m").alias("at"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
+    side = lambda s: unsent(own.withColumnsRenamed({"track": s, "at": f"{s}_at", "lat": f"{s}_lat", "lon": f"{s}_lon"}))
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    kind = dict(both.dtypes)
+    far = both.mapInArrow(lambda batches: _apart(batches, samples), f"a {kind['a']}, b {kind['b']}, fwd double, rev double, la double, lb double")
     sep, diff = F.least("fwd", "rev"), F.abs(F.col("la") - F.col("lb")) / F.greatest("la", "lb")
     kind = F.when((sep == 0) & (diff == 0), "IDENTICAL").when((sep <= same[0]) & (diff <= same[1]), "SAME").when((sep <= near[0]) & (diff <= near[1]), "NEAR").otherwise("ALTERNATIVE")
-    return out.select("a", "b", sep.alias("separation_m"), kind.alias("class"))
+    return far.select("a", "b", sep.alias("separation_m"), kind.alias("class"))
 
 
 def semantic_bridges(gaps: DataFrame, edges: DataFrame, max_tracks: int = 8) -> DataFrame:

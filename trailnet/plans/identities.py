@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..operators import identity as I
+from ..operators.graph import stored
 from .frames import haversine_sql, rounded, rounded_sql, table
 
 _COLUMNS, _STEP, _DIGITS, _LETTERS = 100, 0.25, "0123456789", "abcdefghij"
@@ -48,7 +49,7 @@ def walk_points(walks):
 
 
 def _network(spark, sf_dir):
-    t = walks(spark, sf_dir)
+    t = stored(walks(spark, sf_dir))
     return I.global_network(t, walk_points(t))
 
 
