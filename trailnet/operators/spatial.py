@@ -201,9 +201,21 @@ def contains(a: Column, b: Column, least: int = 1) -> Column:
 
 
 def alias_pairs(places: DataFrame, key: str, name: str, radius_m: float) -> DataFrame:
-    """(a, b, a_name, b_name, distance_m) of places within radius_m whose names differ and one of which holds the other."""
-    pairs = near_pairs(places, key, radius_m, keep=[name])
-    return pairs.where((F.col(f"a_{name}") != F.col(f"b_{name}")) & contains(F.col(f"a_{name}"), F.col(f"b_{name}"))).select("a", "b", F.col(f"a_{name}").alias("a_name"), F.col(f"b_{name}").alias("b_name"), "distance_m")
+    """(a, b, a_name, b_name, distance_m) of places within radius_m whose names differ and one of which holds the other.
+
+    Places of one name at one spot are one for the comparison, however many; its links are then those of each of them.
+    """
+    own = places.select(F.col(key).alias("_key"), F.col(name).alias("name"), "lat", "lon").dropDuplicates(["_key"])
+    spots = stored(own.dropna(subset=["name", "lat", "lon"]).groupBy("name", "lat", "lon").agg(F.min("_key").alias("_spot")))
+    side = lambda s, lat, lon: spots.select(F.col("_spot").alias(f"_{s}"), F.col("name").alias(f"_{s}_name"), F.col("lat").alias(lat), F.col("lon").alias(lon))
+    pairs = near_rows(side("x", "lat", "lon"), side("y", "to_lat", "to_lon"), radius_m).where(F.col("_x") < F.col("_y")).where((F.col("_x_name") != F.col("_y_name")) & contains(F.col("_x_name"), F.col("_y_name")))
+    pairs = stored(pairs.select("_x", "_y", "_x_name", "_y_name", "distance_m"))
+    member = lambda s: unsent(members.withColumnsRenamed({"_key": f"_{s}_key", "_spot": f"_{s}"}))
+    members = stored(own.join(spots, ["name", "lat", "lon"]).select("_key", "_spot"))
+    both = pairs.join(member("x"), "_x").join(member("y"), "_y")
+    ahead = F.col("_x_key") < F.col("_y_key")
+    pick = lambda a, b, c: F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(c)
+    return both.select(F.least("_x_key", "_y_key").alias("a"), F.greatest("_x_key", "_y_key").alias("b"), pick("_x_name", "_y_name", "a_name"), pick("_y_name", "_x_name", "b_name"), "distance_m")
 
 
 def _held(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
