@@ -61,11 +61,11 @@ def weighted_centroid(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
 
 
 def diameters(members: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """The largest distance of two members of each group, 0 for one alone. Pairs within a group: for places, which are few."""
-    left = members.select(*keys, F.col(key).alias("_a"), "lat", "lon")
-    right = members.select(*keys, F.col(key).alias("_b"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    far = left.join(right, keys).where("_a < _b").groupBy(*keys).agg(F.max(haversine_m("lat", "lon", "_lat", "_lon")).alias("diameter_m"))
-    return members.select(*keys).distinct().join(far, keys, "left").withColumn("diameter_m", F.coalesce("diameter_m", F.lit(0.0)))
+    """The largest distance of two members of each group, 0 for one alone. Pairs of a group's spots, each once however many members lie there."""
+    spots = stored(members.select(*keys, "lat", "lon").distinct())
+    right = unsent(spots.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}))
+    far = spots.join(right, keys).where(F.struct("lat", "lon") < F.struct("_lat", "_lon")).groupBy(*keys).agg(F.max(haversine_m("lat", "lon", "_lat", "_lon")).alias("diameter_m"))
+    return spots.select(*keys).distinct().join(far, keys, "left").withColumn("diameter_m", F.coalesce("diameter_m", F.lit(0.0)))
 
 
 def nearest(queries: DataFrame, query: str, places: DataFrame, place: str, radius_m: float) -> DataFrame:
