@@ -128,7 +128,7 @@ def _bounds(asked: DataFrame, segments: DataFrame, same: list[str]) -> DataFrame
     # Ends are many, those of the smallest cells fewer: the wider levels choose among the latter.
     finest = stored(ends.groupBy(cell(F.col("lat"), F.col("lon"), _level_m(0)).alias("_c"), *same).agg(F.min(F.struct("lat", "lon")).alias("_end"))).select(*same, "_end.*")
     seen = finest.withColumn("_at", F.explode(F.array(*own))).groupBy("_at", *same).agg(F.min(F.struct("lat", "lon")).alias("_end"))
-    near = asked.withColumn("_at", F.explode(F.concat(*cells_of))).join(seen, ["_at", *same])
+    near = asked.withColumn("_at", F.explode(F.concat(*cells_of))).join(unsent(seen), ["_at", *same])
     near = near.groupBy("_spot").agg(F.min(haversine_m("lat", "lon", "_end.lat", "_end.lon")).alias("bound_m"))
     return asked.join(near, "_spot", "left")
 
@@ -143,7 +143,7 @@ def _covered(size_m: float) -> Column:
 def nearest_segment(queries: DataFrame, segments: DataFrame, same: list[str] = (), report: dict | None = None) -> DataFrame:
     """(query, track, segment, t, distance_m): the nearest point of any track for each queries(query, lat, lon); nulls where there are no tracks.
 
-    segments: track, segment, lat1, lon1, lat2, lon2; both sides have the columns same, in which they are equal. Queries at one spot are asked once. In a
+    segments: track, segment, lat1, lon1, lat2, lon2; both sides have the columns same, in which they are equal. Queries at one spot are asked once, and of equal segments the first. In a
     first pass each spot meets one segment end for each cell around it, of every level, which bounds how far its nearest segment is. In the second it meets the
     segments whose boxes lie in cells around it: those as large as the bound or larger in cells of their own level, all smaller ones in cells of
     the bound's; of these only the ones whose box is within the bound are compared. A segment that crosses 180 degrees counts as going the other way round. Ties by track, then segment.
@@ -151,7 +151,9 @@ def nearest_segment(queries: DataFrame, segments: DataFrame, same: list[str] = (
     """
     same = list(same)
     asked = queries.select("query", *same, "lat", "lon").dropDuplicates(["query"]).withColumn("_spot", F.struct(*same, "lat", "lon"))
-    asked, segments = stored(asked), stored(segments.select("track", "segment", *same, "lat1", "lon1", "lat2", "lon2"))
+    line = ["lat1", "lon1", "lat2", "lon2"]
+    alike = segments.groupBy(*same, *line).agg(F.min(F.struct("track", "segment")).alias("_s"))
+    asked, segments = stored(asked), stored(alike.select("_s.track", "_s.segment", *same, *line))
     spots = asked.select("_spot", *same, "lat", "lon").dropDuplicates(["_spot"])
     spots = stored(_bounds(spots, segments, same).where("bound_m IS NOT NULL").withColumn("_class", _level_of(F.col("bound_m") * 1.01 + 0.01)))
     classes = [r[0] for r in spots.select("_class").distinct().collect()]  # LEVELS at most
@@ -165,7 +167,7 @@ def nearest_segment(queries: DataFrame, segments: DataFrame, same: list[str] = (
     )
     probes = spots.withColumn("_look", F.explode(looks)).select("_spot", *same, "lat", "lon", "bound_m", "_look.*")
     probes = probes.withColumn("_cell", F.explode(_by_level(F.col("_level"), lambda m: around(F.col("lat"), F.col("lon"), m))))
-    near = probes.join(placed, ["_kind", "_level", "_cell", *same]).where(_box_m() <= F.col("bound_m") * 1.01 + 0.01)
+    near = unsent(probes).join(unsent(placed), ["_kind", "_level", "_cell", *same]).where(_box_m() <= F.col("bound_m") * 1.01 + 0.01)
     if report is not None:
         near = stored(near)
         report["comparisons"], report["spots"] = near.count(), spots.count()
